@@ -62,19 +62,34 @@ def rank_vector(t: Column) -> Column:
         # Adding 0.0 turns the -0.0 of a negative zero entry into plain 0.0.
         return F.transform(F.sort_array(placed), lambda e: e["r"] + zero)
 
-    return F.when(F.size(t) == 0, F.array().cast("array<double>")).when(
-        t.isNotNull(), bind(F.sort_array(F.transform(t, entry)), from_ordered)
-    )
+    def ranked(v):
+        none = F.array().cast("array<double>")
+        return F.when(F.size(v) == 0, none).when(
+            v.isNotNull(), bind(F.sort_array(F.transform(v, entry)), from_ordered)
+        )
+
+    return bind(t, ranked)
 
 
-def weighted_sum(r: Column, weights: Column) -> Column:
-    """Sum of `r[idx] * weight` over an array of (idx, weight) structs.
+def score_sql(ranks: str, signature: str) -> str:
+    """Connection score of a rank vector for a resolved (weights, c_max) signature, as SQL.
 
     `aggregate` keeps the expression the same size for any number of genes; a sum of one
-    term per gene overflows the planner's stack at a few hundred.
+    term per gene overflows the planner's stack at a few hundred. Adding 0 turns -0.0 into
+    plain 0.0.
     """
-    return F.aggregate(
-        weights, F.lit(0.0), lambda total, w: total + F.element_at(r, w["idx"]) * w["weight"]
+    return (
+        f"aggregate({signature}.weights, 0D,"
+        f" (total, w) -> total + element_at({ranks}, w.idx) * w.weight)"
+        f" / {signature}.c_max + 0D"
+    )
+
+
+def aligned_sql(vector: str, n_genes: str) -> str:
+    """`vector` itself; the query fails if its length is not the number of genes."""
+    return (
+        f"if(size({vector}) <> {n_genes}, raise_error(concat("
+        f"'a vector has ', size({vector}), ' entries, genes: ', {n_genes})), {vector})"
     )
 
 

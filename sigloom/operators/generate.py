@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.arguments import Arguments
-from sigloom.operators.prepare import aligned, with_gene_count
+from sigloom.functions.vectors import aligned_sql
+from sigloom.operators.prepare import with_gene_count
 from sigloom.schema import SIGNIFICANT
 
 
@@ -21,7 +22,7 @@ def generate_signature(
     args.number("pvalue", pvalue)
     args.done()
     no_p = F.array().cast("array<double>")
-    t = aligned(F.col("profile.t"), F.col("_n_genes"), "profile.t")
+    t = F.expr(aligned_sql("profile.t", "_n_genes"))
     entries = F.arrays_zip(t.alias("t"), F.coalesce("profile.p", no_p).alias("p"))
     chosen = db.filter(F.col("id").isin(ids) & F.col("profile.t").isNotNull())
     medians = (

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.arguments import Arguments
-from sigloom.functions.vectors import rank_vector
+from sigloom.functions.vectors import aligned_sql, rank_vector
 from sigloom.sources.perturbations import conform, with_meta
 
 
@@ -21,16 +21,6 @@ def with_gene_count(frame: DataFrame, genes: DataFrame, name: str = "_n_genes")
     return frame.withColumn(name, gene_count(genes))
 
 
-def aligned(vector: Column, n_genes: Column, what: str) -> Column:
-    """`vector` itself; the query fails if its length is not the number of genes."""
-    message = F.concat(
-        F.lit(f"{what} has "), F.size(vector), F.lit(" entries, genes: "), n_genes.cast("string")
-    )
-    return F.when(vector.isNull() | (F.size(vector) == n_genes), vector).otherwise(
-        F.raise_error(message)
-    )
-
-
 def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """Fill `profile.r` with the signed ranks of `profile.t`.
 
@@ -41,7 +31,7 @@ def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     counted, checked = db, t
     if genes is not None:
         counted = with_gene_count(db, genes)
-        checked = aligned(t, F.col("_n_genes"), "profile.t")
+        checked = F.expr(aligned_sql("profile.t", "_n_genes"))
     ranked = F.struct(t.alias("t"), F.col("profile.p").alias("p"), rank_vector(checked).alias("r"))
     return counted.withColumn(
         "profile", F.when(F.col("profile").isNotNull(), ranked)

@@ -7,14 +7,14 @@ do not depend on the order of summation.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.arguments import Arguments
 from sigloom.functions.patterns import matches_any
-from sigloom.functions.vectors import bind, count_at_most, is_informative, weighted_sum
+from sigloom.functions.vectors import aligned_sql, count_at_most, is_informative, score_sql
 from sigloom.operators.flat import apply_filters
-from sigloom.operators.prepare import aligned, with_gene_count
+from sigloom.operators.prepare import with_gene_count
 from sigloom.operators.signatures import (
     as_lists,
     block_count,
@@ -68,39 +68,37 @@ def select_features(frame: DataFrame, features=ALL) -> DataFrame:
     return frame.select(*[c for c in ("sig_id",) if c in frame.columns], *columns)
 
 
-def score_of(r: Column, signature: Column) -> Column:
-    """Connection score of a rank vector for a resolved (weights, c_max) signature."""
-    # Adding 0.0 turns -0.0 into plain 0.0.
-    return weighted_sum(r, signature["weights"]) / signature["c_max"] + F.lit(0.0)
-
-
 def per_signature(
-    db: DataFrame, genes: DataFrame, signatures: DataFrame, keep: list[str], **scores
+    db: DataFrame, genes: DataFrame, signatures: DataFrame, keep: list[str], scores: dict[str, str]
 ) -> DataFrame:
-    """Columns `keep`, sig_id and named scores for each row with ranks and each signature.
+    """Columns `keep`, sig_id and scores for each row with ranks and each signature.
 
-    `signatures` is reduced to one array, which the tasks get as a constant; `scores` map
-    a column name to a function of the rank vector and an entry of that array.
+    `signatures` is reduced to one array, which the tasks get as a constant. `scores` map
+    a column name to SQL over the rank vector `r` and an entry `s` of that array.
     """
     entries = signatures.agg(F.collect_list(F.struct(*signatures.columns))).scalar()
-    ready = with_gene_count(db.filter(F.col("profile.r").isNotNull()), genes).withColumn(
-        "_signatures", entries
+    ready = with_gene_count(db, genes).withColumn("_signatures", entries)
+    fields = ", ".join(f"{sql} AS {name}" for name, sql in scores.items())
+    # The one-element array gives the checked vector a name inside the expression.
+    scored = ready.select(
+        *keep,
+        F.expr(
+            f"""
+            transform(array({aligned_sql("profile.r", "_n_genes")}), r ->
+              if(r IS NULL, NULL, transform(_signatures, s -> struct(s.sig_id, {fields})))
+            )[0]
+            """
+        ).alias("_scores"),
     )
-
-    def score_all(r: Column) -> Column:
-        return F.transform(
-            "_signatures",
-            lambda s: F.struct(s["sig_id"], *[f(r, s).alias(name) for name, f in scores.items()]),
-        )
-
-    ranks = aligned(F.col("profile.r"), F.col("_n_genes"), "profile.r")
-    scored = ready.select(*keep, bind(ranks, score_all).alias("_scores"))
-    return scored.select(*keep, F.inline("_scores").alias("sig_id", *scores))
+    # For a plain `inline` the optimizer adds a filter on its input, which would compute
+    # all scores a second time.
+    unfolded = scored.select(*keep, F.inline_outer("_scores").alias("sig_id", *scores))
+    return unfolded.filter("sig_id IS NOT NULL")
 
 
 def _with_block_scores(db: DataFrame, genes: DataFrame, block: DataFrame, ordered: bool):
     resolved = signature_weights(genes, block, ordered)
-    return per_signature(db, genes, resolved, db.columns, zhang=score_of)
+    return per_signature(db, genes, resolved, db.columns, {"zhang": score_sql("r", "s")})
 
 
 def with_scores(db: DataFrame, genes: DataFrame, signatures, ordered: bool = False) -> DataFrame:

@@ -7,11 +7,10 @@ from collections.abc import Mapping
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.arguments import Arguments
-from sigloom.operators.prepare import gene_count
 
 # What a plain signature argument is called in the `sig_id` column.
 SINGLE = "signature"
@@ -89,45 +88,42 @@ def gene_lookup(genes: DataFrame) -> DataFrame:
 
     A name shared by several genes means the one with the lowest index.
     """
-    none = F.array().cast("array<string>")
-    names = F.concat(
-        F.array("id"), *[F.coalesce(c, none) for c in ("symbol", "entrezid", "ensemblid")]
-    )
-    gene = F.struct(
-        F.col("index").alias("idx"),
-        F.get("symbol", F.lit(0)).alias("symbol"),
-        F.col("dataType").alias("data_type"),
-    )
-    return (
-        genes.select(F.explode(names).alias("name"), gene.alias("gene"))
-        .filter(F.col("name").isNotNull())
-        .groupBy("name")
-        .agg(F.min("gene").alias("gene"))
-        .select("name", "gene.*")
+    return genes.sparkSession.sql(
+        """
+        WITH named AS (
+          SELECT explode(concat(
+                   array(id), coalesce(symbol, array()),
+                   coalesce(entrezid, array()), coalesce(ensemblid, array())
+                 )) AS name,
+                 struct(index AS idx, get(symbol, 0) AS symbol, dataType AS data_type) AS gene
+          FROM {genes}
+        ),
+        lowest AS (SELECT name, min(gene) AS gene FROM named WHERE name IS NOT NULL GROUP BY name)
+        SELECT name, gene.* FROM lowest
+        """,
+        genes=genes,
     )
 
 
-def _signed(table: DataFrame) -> DataFrame:
-    """Split a token into `sign` and `name`."""
-    down = F.col("token").startswith("-")
-    return table.withColumns(
-        {
-            "sign": F.when(down, F.lit(-1)).otherwise(F.lit(1)),
-            "name": F.when(down, F.substring("token", 2, 2**31 - 1)).otherwise(F.col("token")),
-        }
-    )
+# A token split into direction and gene name.
+SIGNED_TOKENS = """
+    SELECT sig_id, pos, token, startswith(token, '-') AS down,
+           if(startswith(token, '-'), substring(token, 2), token) AS name
+    FROM {signatures}
+"""
 
 
 def check_signature(genes: DataFrame, signatures=".*") -> DataFrame:
     """(sig_id, pos, query, found, symbol, data_type), one row per token."""
-    table = _signed(signature_table(genes.sparkSession, signatures))
-    return table.join(gene_lookup(genes), "name", "left").select(
-        "sig_id",
-        "pos",
-        F.col("token").alias("query"),
-        F.col("idx").isNotNull().alias("found"),
-        F.coalesce("symbol", F.lit("")).alias("symbol"),
-        F.coalesce("data_type", F.lit("")).alias("data_type"),
+    spark = genes.sparkSession
+    return spark.sql(
+        f"""
+        SELECT sig_id, pos, token AS query, idx IS NOT NULL AS found,
+               coalesce(symbol, '') AS symbol, coalesce(data_type, '') AS data_type
+        FROM ({SIGNED_TOKENS}) LEFT JOIN {{lookup}} USING (name)
+        """,
+        signatures=signature_table(spark, signatures),
+        lookup=gene_lookup(genes),
     )
 
 
@@ -135,28 +131,31 @@ def parse_signature(genes: DataFrame, signatures, ordered: bool = False) -> Data
     """(sig_id, pos, idx, sign, weight) of the genes found, renumbered from 1.
 
     Of several tokens for one gene the first counts. They are reduced to one before the
-    numbering, so no task numbers more rows of a signature than there are genes.
+    numbering, so no task numbers more rows of a signature than there are genes. Position
+    and sign share one number, as a minimum of a number keeps the aggregation hash-based.
     """
     args = Arguments()
     args.flag("ordered", ordered)
     args.done()
-    table = _signed(signature_table(genes.sparkSession, signatures))
-    first = (
-        table.join(gene_lookup(genes), "name")
-        .groupBy("sig_id", "idx")
-        .agg(F.min(F.struct("pos", "sign")).alias("first"))
-    )
-    signature = Window.partitionBy("sig_id")
-    numbered = first.select(
-        "sig_id",
-        F.row_number().over(signature.orderBy("first.pos", "idx")).alias("pos"),
-        "idx",
-        F.col("first.sign").alias("sign"),
-        F.count(F.lit(1)).over(signature).alias("m"),
-    )
-    size = F.col("m") - F.col("pos") + 1 if ordered else F.lit(1)
-    return numbered.select(
-        "sig_id", "pos", "idx", "sign", (F.col("sign") * size).cast("double").alias("weight")
+    spark = genes.sparkSession
+    weight = "sign * (m - pos + 1)" if ordered else "sign"
+    return spark.sql(
+        f"""
+        WITH firsts AS (
+          SELECT sig_id, idx, min(pos * 2L + if(down, 0, 1)) AS place
+          FROM ({SIGNED_TOKENS}) JOIN {{lookup}} USING (name)
+          GROUP BY sig_id, idx
+        ),
+        numbered AS (
+          SELECT sig_id, idx, if(pmod(place, 2) = 0, -1, 1) AS sign,
+                 row_number() OVER (PARTITION BY sig_id ORDER BY shiftright(place, 1), idx) AS pos,
+                 count(*) OVER (PARTITION BY sig_id) AS m
+          FROM firsts
+        )
+        SELECT sig_id, pos, idx, sign, double({weight}) AS weight FROM numbered
+        """,
+        signatures=signature_table(spark, signatures),
+        lookup=gene_lookup(genes),
     )
 
 
@@ -167,16 +166,17 @@ def signature_weights(
 
     `c_max` is the largest sum of weighted ranks the signature can reach.
     """
-    parsed = parse_signature(genes, signatures, ordered)
-    best = F.abs("weight") * (gene_count(genes) - F.col("pos") + 1)
-    found = parsed.groupBy("sig_id").agg(
-        F.collect_list(F.struct("idx", "weight")).alias("weights"),
-        F.sum(best).alias("c_max"),
-    )
-    everyone = signatures.select("sig_id").distinct()
-    none = F.array().cast("array<struct<idx:int,weight:double>>")
-    return everyone.join(found, "sig_id", "left").select(
-        "sig_id",
-        F.coalesce("weights", none).alias("weights"),
-        F.coalesce("c_max", F.lit(1.0)).alias("c_max"),
+    return genes.sparkSession.sql(
+        """
+        SELECT sig_id, coalesce(weights, array()) AS weights, coalesce(c_max, 1D) AS c_max
+        FROM (SELECT DISTINCT sig_id FROM {signatures})
+        LEFT JOIN (
+          SELECT sig_id, collect_list(struct(idx, weight)) AS weights,
+                 sum(abs(weight) * ((SELECT count(*) FROM {genes}) - pos + 1)) AS c_max
+          FROM {parsed} GROUP BY sig_id
+        ) USING (sig_id)
+        """,
+        signatures=signatures,
+        genes=genes,
+        parsed=parse_signature(genes, signatures, ordered),
     )

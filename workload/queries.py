@@ -202,10 +202,7 @@ def build_db_long(spark, sf_dir):
 
 
 def rank_vectors(spark, sf_dir):
-    db = tables.db(spark, sf_dir)
-    return db.select("id", F.posexplode("profile.r").alias("at", "r")).select(
-        "id", (F.col("at") + 1).alias("idx"), "r"
-    )
+    return layouts.gene_major(tables.db(spark, sf_dir))
 
 
 def _stored_ranks(spark, sf_dir):
