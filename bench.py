@@ -40,7 +40,9 @@ def main():
     tables.raw_genes(spark).coalesce(1).write.parquet(raw)
     genes = load_genes(spark.read.parquet(raw))
     unranked = tables.unranked_db(spark, SF_DIR)
-    times["prepare_wide"] = seconds(lambda: write_db(unranked, f"{folder}/db", genes=genes))
+    times["prepare_wide"] = seconds(
+        lambda: write_db(unranked, f"{folder}/db", genes=genes, partitions=int(CPUS))
+    )
     db = read_db(spark, f"{folder}/db")
     times["prepare_gene_major"] = seconds(
         lambda: write_db(db, f"{folder}/ranks", layout="gene_major")

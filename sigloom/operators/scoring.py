@@ -7,7 +7,7 @@ do not depend on the order of summation.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.arguments import Arguments
@@ -23,68 +23,85 @@ from sigloom.operators.signatures import (
 )
 from sigloom.schema import SIGNIFICANT
 
-# Columns a report can show. `jnjs` is the compound number under its traditional name.
+# Columns a report can show, apart from the score.
 FEATURES = {
-    "zhang": lambda: F.col("zhang"),
-    "id": lambda: F.col("id"),
-    "cell": lambda: F.col("cell"),
-    "trt_type": lambda: F.col("trt_type"),
-    "trt_id": lambda: F.col("trt.id"),
-    "trt_name": lambda: F.col("trt.name"),
-    "dose": lambda: F.col("trt.dose"),
-    "smiles": lambda: F.col("trt.smiles"),
-    "targets": lambda: F.array_join("trt.targets", ","),
-    "n_significant": lambda: count_at_most(F.col("profile.p"), SIGNIFICANT),
-    "informative": lambda: is_informative(F.col("profile.p")),
+    "id": "id",
+    "cell": "cell",
+    "trt_type": "trt_type",
+    "trt_id": "trt.id",
+    "trt_name": "trt.name",
+    "dose": "trt.dose",
+    "smiles": "trt.smiles",
+    "targets": "array_join(trt.targets, ',')",
 }
+# Those that need the p-values; they are computed for the rows of the report only.
+P_FEATURES = {
+    "n_significant": lambda: count_at_most(F.col("_p"), SIGNIFICANT),
+    "informative": lambda: is_informative(F.col("_p")),
+}
+# The compound number under its traditional name.
 OTHER_NAMES = {"jnjs": "trt_id"}
+SCORE = "zhang"
 ALL = ".*"
 
 
-def feature_names(features, args: Arguments) -> list[str]:
+def feature_names(features, args: Arguments, scored: bool = True) -> list[str]:
     """Requested column names without repeats, `.*` standing for all."""
+    known = [*([SCORE] if scored else []), *FEATURES, *P_FEATURES]
     wanted = []
     for name in args.words("features", features):
-        wanted.extend(FEATURES if name == ALL else [name])
+        wanted.extend(known if name == ALL else [name])
     wanted = list(dict.fromkeys(wanted))
     for name in wanted:
-        args.require(name in FEATURES or name in OTHER_NAMES, f"unknown feature {name}")
+        args.require(name in known or name in OTHER_NAMES, f"unknown feature {name}")
     return wanted
 
 
-def select_features(frame: DataFrame, features=ALL) -> DataFrame:
-    """Columns by name, in the order asked for; `sig_id` stays in front if present.
+def _feature_inputs(db: DataFrame, wanted: list[str], *more) -> DataFrame:
+    """The columns the features need, under plain names, so that nothing else is read."""
+    named = {OTHER_NAMES.get(name, name) for name in wanted} | {"id"}
+    columns = [F.expr(sql).alias(name) for name, sql in FEATURES.items() if name in named]
+    if not named.isdisjoint(P_FEATURES):
+        columns.append(F.col("profile.p").alias("_p"))
+    return db.select(*columns, *more)
 
-    On a frame without scores `.*` leaves out `zhang`.
-    """
+
+def _feature_columns(frame: DataFrame, wanted: list[str]) -> DataFrame:
+    columns = []
+    for name in wanted:
+        source = OTHER_NAMES.get(name, name)
+        column = P_FEATURES[source]() if source in P_FEATURES else F.col(source)
+        columns.append(column.alias(name))
+    return frame.select(*[c for c in ("sig_id",) if c in frame.columns], *columns)
+
+
+def select_features(db: DataFrame, features=ALL) -> DataFrame:
+    """Columns of a database by feature name, in the order asked for."""
     args = Arguments()
-    wanted = feature_names(features, args)
-    scored = "zhang" in frame.columns
-    if not scored and ALL in args.words("features", features):
-        wanted = [name for name in wanted if name != "zhang"]
-    args.require(scored or "zhang" not in wanted, "zhang needs a signature")
+    wanted = feature_names(features, args, scored=False)
     args.done()
-    columns = [FEATURES[OTHER_NAMES.get(name, name)]().alias(name) for name in wanted]
-    return frame.select(*[c for c in ("sig_id",) if c in frame.columns], *columns)
+    return _feature_columns(_feature_inputs(db, wanted), wanted)
 
 
 def per_signature(
-    db: DataFrame, genes: DataFrame, signatures: DataFrame, keep: list[str], scores: dict[str, str]
+    frame: DataFrame, genes: DataFrame, signatures: DataFrame, scores: dict[str, str]
 ) -> DataFrame:
-    """Columns `keep`, sig_id and scores for each row with ranks and each signature.
+    """`frame` with its column `_ranks` replaced by sig_id and scores, for each signature.
 
     `signatures` is reduced to one array, which the tasks get as a constant. `scores` map
-    a column name to SQL over the rank vector `r` and an entry `s` of that array.
+    a column name to SQL over the rank vector `r` and an entry `s` of that array. Rows
+    without ranks are left out.
     """
+    keep = [name for name in frame.columns if name != "_ranks"]
     entries = signatures.agg(F.collect_list(F.struct(*signatures.columns))).scalar()
-    ready = with_gene_count(db, genes).withColumn("_signatures", entries)
+    ready = with_gene_count(frame, genes).withColumn("_signatures", entries)
     fields = ", ".join(f"{sql} AS {name}" for name, sql in scores.items())
     # The one-element array gives the checked vector a name inside the expression.
     scored = ready.select(
         *keep,
         F.expr(
             f"""
-            transform(array({aligned_sql("profile.r", "_n_genes")}), r ->
+            transform(array({aligned_sql("_ranks", "_n_genes")}), r ->
               if(r IS NULL, NULL, transform(_signatures, s -> struct(s.sig_id, {fields})))
             )[0]
             """
@@ -96,13 +113,12 @@ def per_signature(
     return unfolded.filter("sig_id IS NOT NULL")
 
 
-def _with_block_scores(db: DataFrame, genes: DataFrame, block: DataFrame, ordered: bool):
-    resolved = signature_weights(genes, block, ordered)
-    return per_signature(db, genes, resolved, db.columns, {"zhang": score_sql("r", "s")})
+def rank_column() -> Column:
+    return F.col("profile.r").alias("_ranks")
 
 
-def with_scores(db: DataFrame, genes: DataFrame, signatures, ordered: bool = False) -> DataFrame:
-    """`db` with `sig_id` and `zhang`: a row per perturbation with ranks and signature.
+def with_scores(frame: DataFrame, genes: DataFrame, signatures, ordered: bool = False) -> DataFrame:
+    """`frame` with `sig_id` and `zhang` in place of its rank vectors `_ranks`.
 
     Map-only: the resolved signatures reach each task as one value of bounded size, and
     every vector is read once for all of them. Larger signature tables are scored block
@@ -112,10 +128,14 @@ def with_scores(db: DataFrame, genes: DataFrame, signatures, ordered: bool = Fal
     as_lists(signatures, args)
     args.flag("ordered", ordered)
     args.done()
-    blocks = signature_blocks(db.sparkSession, signatures, block_count(signatures))
-    return reduce(
-        DataFrame.unionAll, [_with_block_scores(db, genes, block, ordered) for block in blocks]
-    )
+    blocks = signature_blocks(frame.sparkSession, signatures, block_count(signatures))
+    scored = [
+        per_signature(
+            frame, genes, signature_weights(genes, block, ordered), {SCORE: score_sql("r", "s")}
+        )
+        for block in blocks
+    ]
+    return reduce(DataFrame.unionAll, scored)
 
 
 def _gene_major_block_scores(ranks: DataFrame, genes: DataFrame, block: DataFrame, ordered: bool):
@@ -172,12 +192,12 @@ def zhang_score(
     With `ranks`, the gene-major copy of `db`, scores come from there.
     """
     if ranks is None:
-        scored = with_scores(apply_filters(db, filters), genes, signatures, ordered)
-        return scored.select("sig_id", "id", "zhang")
+        vectors = apply_filters(db, filters).select("id", rank_column())
+        return with_scores(vectors, genes, signatures, ordered).select("sig_id", "id", SCORE)
     scores = gene_major_scores(ranks, genes, signatures, ordered)
     if filters:
         scores = scores.join(apply_filters(db, filters).select("id"), "id", "left_semi")
-    return scores.select("sig_id", "id", "zhang")
+    return scores.select("sig_id", "id", SCORE)
 
 
 def best_rows(scored: DataFrame, signatures, n: int, highest: bool = True) -> DataFrame:
@@ -215,18 +235,18 @@ def top_table(
     counts = [args.is_integer("head", head), args.is_integer("tail", tail)]
     if all(counts):
         args.require((head > 0) != (tail > 0), "exactly one of head and tail must be above 0")
-    feature_names(features, args)
+    wanted = feature_names(features, args)
     args.flag("ordered", ordered)
     args.done()
     highest, n = head > 0, head if head > 0 else tail
     if ranks is None:
-        scored = with_scores(apply_filters(db, filters), genes, signature, ordered)
-        return select_features(best_rows(scored, signature, n, highest), features)
-    scores = zhang_score(db, genes, signature, ordered, filters, ranks)
-    chosen = best_rows(scores, signature, n, highest)
-    return select_features(
-        best_rows(db.join(chosen, "id"), signature, n, highest), features
-    )
+        inputs = _feature_inputs(apply_filters(db, filters), wanted, rank_column())
+        scored = with_scores(inputs, genes, signature, ordered)
+    else:
+        scores = zhang_score(db, genes, signature, ordered, filters, ranks)
+        chosen = best_rows(scores, signature, n, highest)
+        scored = _feature_inputs(db, wanted).join(chosen, "id")
+    return _feature_columns(best_rows(scored, signature, n, highest), wanted)
 
 
 def top_table_head(db, genes, signature=None, n: int = 0, features=ALL, filters=None, **options):
@@ -253,8 +273,8 @@ def annotated_ids(
     as_lists(signature, args)
     patterns = args.words("ids", ids)
     args.positive("limit", limit)
-    feature_names(features, args)
+    wanted = feature_names(features, args)
     args.done()
     asked = db.filter(matches_any(F.col("id"), patterns))
-    scored = with_scores(asked, genes, signature, ordered)
-    return select_features(best_rows(scored, signature, limit), features)
+    scored = with_scores(_feature_inputs(asked, wanted, rank_column()), genes, signature, ordered)
+    return _feature_columns(best_rows(scored, signature, limit), wanted)

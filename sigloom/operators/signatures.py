@@ -57,14 +57,10 @@ def signature_table(spark: SparkSession, signatures) -> DataFrame:
 def block_count(signatures, limit: int | None = None) -> int:
     """Into how many parts to split signatures so that a part is small enough for a task.
 
-    1 for a list, or for at most `limit` tokens; counting the tokens of a table is a job.
+    1 for at most `limit` tokens; counting the tokens of a table is a job.
     """
-    if isinstance(signatures, DataFrame):
-        tokens = signatures.count()
-    elif isinstance(signatures, Mapping):
-        tokens = sum(map(len, signatures.values()))
-    else:
-        tokens = 0
+    lists = as_lists(signatures, Arguments())
+    tokens = signatures.count() if lists is None else sum(map(len, lists.values()))
     blocks = ceil(tokens / (limit or INLINE_TOKENS))
     # Twice as many as needed on average, since a hash does not split evenly.
     return 1 if blocks <= 1 else 2 * blocks

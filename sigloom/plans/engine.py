@@ -5,6 +5,7 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sigloom.functions.arguments import Arguments
 from sigloom.operators import flat, generate, histograms, lookup, scoring
@@ -98,9 +99,16 @@ class Engine:
 
 
 def _has_ranks(spark: SparkSession, path: str) -> bool:
-    """Whether a dataset stores rank vectors, from the schema in its files."""
+    """Whether a dataset stores rank vectors: looks at the file schema and one profile.
+
+    `write_db` stores the ranks of all profiles or of none.
+    """
     stored = spark.read.parquet(path).schema
-    return "profile" in stored.names and "r" in stored["profile"].dataType.names
+    if "profile" not in stored.names or "r" not in stored["profile"].dataType.names:
+        return False
+    profiles = read_db(spark, path).filter("profile.t IS NOT NULL")
+    found = profiles.select(F.col("profile.r").isNotNull().alias("ranked")).first()
+    return found is None or found.ranked
 
 
 def open_ranked(spark: SparkSession, paths: list[str], genes: DataFrame) -> DataFrame:

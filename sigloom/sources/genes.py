@@ -7,7 +7,6 @@ from sigloom.functions.arguments import Arguments
 
 # Text columns of the annotation files that hold one identifier each.
 OPTIONAL_IDENTIFIERS = ("entrezid", "ensemblid", "name", "geneFamily")
-UNUSED_COLUMNS = ("gene_description", "probe_set_id")
 
 
 def _identifier_set(raw: DataFrame, name: str) -> Column:
@@ -23,7 +22,7 @@ def _identifier_set(raw: DataFrame, name: str) -> Column:
 def load_genes(raw: DataFrame, order_by: str | list[str] = "gene_id") -> DataFrame:
     """Gene table from raw annotations (gene_id, gene_symbol, landmark, best_inferred).
 
-    `index` is the 1-based position of the gene in every profile vector and follows
+    Other columns are dropped. `index` is the 1-based position of the gene in every profile vector and follows
     `order_by`, which must order the rows uniquely. The numbering runs in one task: a
     gene table has as many rows as a single vector has entries.
     """
@@ -32,17 +31,14 @@ def load_genes(raw: DataFrame, order_by: str | list[str] = "gene_id") -> DataFra
     for name in ("gene_id", "gene_symbol", "landmark", "best_inferred", *columns):
         args.require(name in raw.columns, f"gene annotations lack the column {name}")
     args.done()
-    annotations = raw.drop(*UNUSED_COLUMNS)
     data_type = F.concat(
         F.col("landmark").cast("int").cast("string"),
         F.lit("-"),
         F.col("best_inferred").cast("int").cast("string"),
     )
-    identifiers = {n: _identifier_set(annotations, n) for n in OPTIONAL_IDENTIFIERS}
-    return annotations.withColumn(
-        "index", F.row_number().over(Window.orderBy(*columns))
-    ).select(
-        "index",
+    identifiers = {n: _identifier_set(raw, n) for n in OPTIONAL_IDENTIFIERS}
+    return raw.select(
+        F.row_number().over(Window.orderBy(*columns)).alias("index"),
         F.col("gene_id").alias("id"),
         F.array("gene_symbol").alias("symbol"),
         *identifiers.values(),

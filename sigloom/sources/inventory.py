@@ -26,8 +26,13 @@ def _scan_paths(paths: list[str]) -> list[str]:
     return [path if _is_dataset(path) else f"{path}/*.parquet*" for path in paths]
 
 
-def _dataset_of(file_path: Column, paths: list[str]) -> Column:
-    """Dataset a file belongs to: an input path, or an entry of an input directory."""
+def _dataset(paths: list[str]) -> Column:
+    """Dataset a scanned file belongs to: an input path, or an entry of an input directory.
+
+    Spark reports file paths URL-encoded, though with a plain `+`.
+    """
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    file_path = F.url_decode(encoded)
     found = F.lit(None).cast("string")
     for path in sorted(paths, key=len):
         bare = re.sub(r"^[a-zA-Z][\w+.-]*:/*(?=/)", "", path)
@@ -41,12 +46,12 @@ def _dataset_of(file_path: Column, paths: list[str]) -> Column:
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every file of the inputs, listed without opening one."""
     listing = spark.read.format("binaryFile").load(_scan_paths(paths))
-    return listing.select(_dataset_of(F.col("path"), paths).alias("dataset"))
+    return listing.select(_dataset(paths).alias("dataset"))
 
 
 def _rows(spark: SparkSession, paths: list[str]) -> DataFrame:
     scan = spark.read.schema(PERTURBATION).parquet(*_scan_paths(paths))
-    return scan.withColumn("dataset", _dataset_of(F.col("_metadata.file_path"), paths))
+    return scan.withColumn("dataset", _dataset(paths))
 
 
 def input_inventory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
