@@ -83,19 +83,24 @@ def select_features(db: DataFrame, features=ALL) -> DataFrame:
     return _feature_columns(_feature_inputs(db, wanted), wanted)
 
 
-def per_signature(
-    frame: DataFrame, genes: DataFrame, signatures: DataFrame, scores: dict[str, str]
-) -> DataFrame:
-    """`frame` with its column `_ranks` replaced by sig_id and scores, for each signature.
+def resolve(genes: DataFrame, block: DataFrame, ordered: bool, name: str) -> DataFrame:
+    """(sig_id, `name`): the weights and largest sum of each signature, in one struct."""
+    weights = signature_weights(genes, block, ordered)
+    return weights.select("sig_id", F.struct("weights", "c_max").alias(name))
+
 
-    `signatures` is reduced to one array, which the tasks get as a constant. `scores` map
-    a column name to SQL over the rank vector `r` and an entry `s` of that array. Rows
-    without ranks are left out.
+def score_vectors(frame: DataFrame, genes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """`frame` with its rank vectors `_ranks` replaced by sig_id and scores.
+
+    One row for each row with ranks and each row of `resolved`; every column of that but
+    sig_id gives a score under its name. `resolved` is reduced to one array, which the
+    tasks get as a constant.
     """
     keep = [name for name in frame.columns if name != "_ranks"]
-    entries = signatures.agg(F.collect_list(F.struct(*signatures.columns))).scalar()
+    names = [name for name in resolved.columns if name != "sig_id"]
+    entries = resolved.agg(F.collect_list(F.struct(*resolved.columns))).scalar()
     ready = with_gene_count(frame, genes).withColumn("_signatures", entries)
-    fields = ", ".join(f"{sql} AS {name}" for name, sql in scores.items())
+    fields = ", ".join(f"{score_sql('r', f's.{name}')} AS {name}" for name in names)
     # The one-element array gives the checked vector a name inside the expression.
     scored = ready.select(
         *keep,
@@ -109,10 +114,45 @@ def per_signature(
     )
     # For a plain `inline` the optimizer adds a filter on its input, which would compute
     # all scores a second time.
-    unfolded = scored.select(*keep, F.inline_outer("_scores").alias("sig_id", *scores))
+    unfolded = scored.select(*keep, F.inline_outer("_scores").alias("sig_id", *names))
     return unfolded.filter("sig_id IS NOT NULL")
 
 
+def score_genes(ranks: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The same scores from gene-major ranks, as (sig_id, id, scores), for unique ids.
+
+    Reads only the genes needed. The ranks of one perturbation lie in one file, so most
+    of a sum is formed before the shuffle.
+    """
+    names = [name for name in resolved.columns if name != "sig_id"]
+
+    def terms_of(name):
+        others = ", ".join(f"{'w.weight' if n == name else '0D'} AS {n}" for n in names)
+        return f"transform({name}.weights, w -> struct(w.idx AS idx, {others}))"
+
+    # A zero weight on the first gene, where every perturbation has a row, gives a score
+    # of 0 to signatures without genes.
+    nothing = f"array(struct(1 AS idx, {', '.join(f'0D AS {n}' for n in names)}))"
+    terms = resolved.select(
+        "sig_id",
+        *[F.col(f"{name}.c_max").alias(f"c_{name}") for name in names],
+        F.inline(F.expr(f"concat({nothing}, {', '.join(map(terms_of, names))})")),
+    )
+    # At most one number per gene, and a vector's worth of genes: a bounded list that
+    # lets the scan skip all other genes.
+    used = [row.idx for row in terms.select("idx").distinct().collect()]
+    sums = [
+        (F.sum(F.col("r") * F.col(n)) / F.first(f"c_{n}") + F.lit(0.0)).alias(n) for n in names
+    ]
+    # A block of signatures has a bounded number of weights (block_count).
+    return (
+        ranks.filter(F.col("idx").isin(used))
+        .join(F.broadcast(terms), "idx")
+        .groupBy("sig_id", "id")
+        .agg(*sums)
+    )
+
+
 def rank_column() -> Column:
     return F.col("profile.r").alias("_ranks")
 
@@ -130,53 +170,29 @@ def with_scores(frame: DataFrame, genes: DataFrame, signatures, ordered: bool =
     args.done()
     blocks = signature_blocks(frame.sparkSession, signatures, block_count(signatures))
     scored = [
-        per_signature(
-            frame, genes, signature_weights(genes, block, ordered), {SCORE: score_sql("r", "s")}
-        )
-        for block in blocks
+        score_vectors(frame, genes, resolve(genes, block, ordered, SCORE)) for block in blocks
     ]
     return reduce(DataFrame.unionAll, scored)
 
 
-def _gene_major_block_scores(ranks: DataFrame, genes: DataFrame, block: DataFrame, ordered: bool):
-    weights = signature_weights(genes, block, ordered)
-    # A signature without genes gets a zero weight on the first gene, where every
-    # perturbation has a row, and so a score of 0.
-    nothing = F.array(F.struct(F.lit(1).alias("idx"), F.lit(0.0).alias("weight")))
-    terms = weights.select(
-        "sig_id",
-        "c_max",
-        F.inline(F.when(F.size("weights") == 0, nothing).otherwise(F.col("weights"))),
-    )
-    # At most one number per gene, and a vector's worth of genes: a bounded list that
-    # lets the scan skip all other genes.
-    used = [row.idx for row in terms.select("idx").distinct().collect()]
-    # A block of signatures has a bounded number of weights (block_count).
-    return (
-        ranks.filter(F.col("idx").isin(used))
-        .join(F.broadcast(terms), "idx")
-        .groupBy("sig_id", "id")
-        .agg((F.sum(F.col("r") * F.col("weight")) / F.first("c_max") + F.lit(0.0)).alias("zhang"))
-    )
-
-
 def gene_major_scores(
     ranks: DataFrame, genes: DataFrame, signatures, ordered: bool = False
 ) -> DataFrame:
-    """(sig_id, id, zhang) from the gene-major layout, reading only the genes needed.
-
-    The ranks of one perturbation lie in one file, so most of the sum is formed before
-    the shuffle. Equal to `zhang_score` on the wide layout, for unique ids.
-    """
+    """(sig_id, id, zhang) from the gene-major layout; equal to `zhang_score` on the wide."""
     args = Arguments()
     as_lists(signatures, args)
     args.flag("ordered", ordered)
     args.done()
     blocks = signature_blocks(ranks.sparkSession, signatures, block_count(signatures))
-    return reduce(
-        DataFrame.unionAll,
-        [_gene_major_block_scores(ranks, genes, block, ordered) for block in blocks],
-    )
+    scored = [score_genes(ranks, resolve(genes, block, ordered, SCORE)) for block in blocks]
+    return reduce(DataFrame.unionAll, scored)
+
+
+def only_filtered(scores: DataFrame, db: DataFrame, filters) -> DataFrame:
+    """Scores of the perturbations that pass the filters."""
+    if not filters:
+        return scores
+    return scores.join(apply_filters(db, filters).select("id"), "id", "left_semi")
 
 
 def zhang_score(
@@ -195,9 +211,7 @@ def zhang_score(
         vectors = apply_filters(db, filters).select("id", rank_column())
         return with_scores(vectors, genes, signatures, ordered).select("sig_id", "id", SCORE)
     scores = gene_major_scores(ranks, genes, signatures, ordered)
-    if filters:
-        scores = scores.join(apply_filters(db, filters).select("id"), "id", "left_semi")
-    return scores.select("sig_id", "id", SCORE)
+    return only_filtered(scores, db, filters).select("sig_id", "id", SCORE)
 
 
 def best_rows(scored: DataFrame, signatures, n: int, highest: bool = True) -> DataFrame:

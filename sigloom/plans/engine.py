@@ -87,11 +87,13 @@ class Engine:
         )
 
     def correlation(self, signature1=None, signature2=None, **options) -> DataFrame:
-        return histograms.correlation(self.db, self.genes, signature1, signature2, **options)
+        return histograms.correlation(
+            self.db, self.genes, signature1, signature2, ranks=self.ranks, **options
+        )
 
     def correlation_coefficient(self, signature1=None, signature2=None, **options) -> DataFrame:
         return histograms.correlation_coefficient(
-            self.db, self.genes, signature1, signature2, **options
+            self.db, self.genes, signature1, signature2, ranks=self.ranks, **options
         )
 
     def generate_signature(self, samples=None, **options) -> DataFrame:

@@ -78,6 +78,9 @@ def test_layouts_agree(wide_values):
     wide = scoring.zhang_score(db, genes, many, filters=filters)
     assert wide.count() == 300
     assert same(wide, scoring.zhang_score(db, genes, many, filters=filters, ranks=ranks))
+    pair = (many["a"], many["b"])
+    wide = histograms.correlation(db, genes, *pair, filters=filters)
+    assert same(wide, histograms.correlation(db, genes, *pair, filters=filters, ranks=ranks))
     options = {"features": "zhang id trt_name n_significant", "filters": filters}
     head = rows(scoring.top_table_head(db, genes, many["a"], 7, **options))
     assert head == rows(scoring.top_table_head(db, genes, many["a"], 7, ranks=ranks, **options))
@@ -110,6 +113,8 @@ def test_many_signatures_in_blocks(wide_values, monkeypatch):
     assert same(expected, scoring.zhang_score(db, genes, many))
     assert same(expected, scoring.zhang_score(db, genes, table, ranks=gene_major(db)))
     assert same(pairs, histograms.correlation_coefficient(db, genes, table, table))
+    by_gene = histograms.correlation_coefficient(db, genes, table, table, ranks=gene_major(db))
+    assert same(pairs, by_gene)
     assert pairs.filter("n <> 300 or pearson <> 1").isEmpty()
 
 

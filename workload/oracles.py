@@ -184,6 +184,15 @@ pairs AS (
 )
 """
 
+
+
+def grid(bins: int) -> str:
+    return f"""
+SELECT 'signature' AS sig_id, {y_bin('one', bins)} AS x_bin, {y_bin('two', bins)} AS y_bin,
+       count(*) AS n
+FROM pairs GROUP BY ALL"""
+
+
 ANNOTATED = """
 SELECT id, {version} AS version, {cell} AS cell, trt_type, trt_id, trt_name, dose,
        {smiles} AS smiles, array_to_string(targets, ',') AS targets, len(t)::int AS n_t,
@@ -386,14 +395,9 @@ SELECT smiles, trt_id AS jnjs, id, coalesce(n05, 0)::int AS n_significant,
 FROM db LEFT JOIN significant USING (id)"""),
     "binned_zhang": sql(binned(20, 20), tokens(q.S1), scores()),
     "binned_zhang_7x13": sql(binned(7, 13), tokens(q.MANY), scores(where="trt_type = 'trt_cp'")),
-    "correlation": sql(
-        f"""
-SELECT 'signature' AS sig_id, {y_bin('one', 20)} AS x_bin, {y_bin('two', 20)} AS y_bin,
-       count(*) AS n
-FROM pairs GROUP BY ALL""",
-        tokens({"one": q.S1, "two": q.S2}),
-        scores(),
-        PAIRS,
+    "correlation": sql(grid(20), tokens({"one": q.S1, "two": q.S2}), scores(), PAIRS),
+    "correlation_gene_major": sql(
+        grid(10), tokens({"one": q.S1, "two": q.S2}), scores(where="trt_type = 'trt_cp'"), PAIRS
     ),
     "correlation_coefficient": sql(
         """

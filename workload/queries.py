@@ -416,6 +416,13 @@ def correlation(spark, sf_dir):
     return histograms.correlation(tables.db(spark, sf_dir), tables.genes(spark), S1, S2)
 
 
+def correlation_gene_major(spark, sf_dir):
+    wide, ranks = _stored_ranks(spark, sf_dir)
+    return histograms.correlation(
+        wide, tables.genes(spark), S1, S2, 10, COMPOUNDS_ONLY, ranks=ranks
+    )
+
+
 def correlation_coefficient(spark, sf_dir):
     return histograms.correlation_coefficient(
         tables.db(spark, sf_dir), tables.genes(spark), S1, S2
@@ -485,6 +492,7 @@ QUERIES = {
         binned_zhang,
         binned_zhang_7x13,
         correlation,
+        correlation_gene_major,
         correlation_coefficient,
         generate_signature,
         generate_signature_strict,

@@ -91,13 +91,25 @@ def unranked_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.array(
         *[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in META.items()]
     )
+    # Join keys lie below N_COMPOUNDS and N_CELLS, so these sides have at most as many rows.
+    # The joins would drop the other rows as well, but only after a shuffle of the vectors
+    # over so few keys.
+    parts = (
+        table(spark, sf_dir, "part")
+        .filter(F.col("p_partkey") < N_COMPOUNDS)
+        .join(
+            part_targets(spark, sf_dir).filter(F.col("l_partkey") < N_COMPOUNDS),
+            F.col("l_partkey") == F.col("p_partkey"),
+            "left",
+        )
+    )
+    cells = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < N_CELLS)
     described = (
         table(spark, sf_dir, "embeddings")
         .withColumn("p_partkey", vec_id % N_COMPOUNDS)
         .withColumn("n_nationkey", (vec_id % N_CELLS).cast("int"))
-        .join(table(spark, sf_dir, "part"), "p_partkey")
-        .join(table(spark, sf_dir, "nation"), "n_nationkey")
-        .join(part_targets(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"), "left")
+        .join(F.broadcast(parts), "p_partkey")
+        .join(F.broadcast(cells), "n_nationkey")
     )
     return described.select(
         perturbation_id(vec_id).alias("id"),
