@@ -123,56 +123,61 @@ def check_signature(genes: DataFrame, signatures=".*") -> DataFrame:
     )
 
 
-def parse_signature(genes: DataFrame, signatures, ordered: bool = False) -> DataFrame:
-    """(sig_id, pos, idx, sign, weight) of the genes found, renumbered from 1.
+def _numbered(genes: DataFrame, signatures: DataFrame, ordered: bool) -> DataFrame:
+    """(sig_id, pos, idx, sign, weight), ending with a null `idx` if tokens are unknown.
 
     Of several tokens for one gene the first counts. They are reduced to one before the
     numbering, so no task numbers more rows of a signature than there are genes. Position
     and sign share one number, as a minimum of a number keeps the aggregation hash-based.
     """
-    args = Arguments()
-    args.flag("ordered", ordered)
-    args.done()
-    spark = genes.sparkSession
     weight = "sign * (m - pos + 1)" if ordered else "sign"
-    return spark.sql(
+    return genes.sparkSession.sql(
         f"""
         WITH firsts AS (
           SELECT sig_id, idx, min(pos * 2L + if(down, 0, 1)) AS place
-          FROM ({SIGNED_TOKENS}) JOIN {{lookup}} USING (name)
+          FROM ({SIGNED_TOKENS}) LEFT JOIN {{lookup}} USING (name)
           GROUP BY sig_id, idx
         ),
         numbered AS (
           SELECT sig_id, idx, if(pmod(place, 2) = 0, -1, 1) AS sign,
-                 row_number() OVER (PARTITION BY sig_id ORDER BY shiftright(place, 1), idx) AS pos,
-                 count(*) OVER (PARTITION BY sig_id) AS m
+                 row_number() OVER (
+                   PARTITION BY sig_id ORDER BY idx IS NULL, shiftright(place, 1), idx
+                 ) AS pos,
+                 count(idx) OVER (PARTITION BY sig_id) AS m
           FROM firsts
         )
         SELECT sig_id, pos, idx, sign, double({weight}) AS weight FROM numbered
         """,
-        signatures=signature_table(spark, signatures),
+        signatures=signatures,
         lookup=gene_lookup(genes),
     )
 
 
-def signature_weights(
-    genes: DataFrame, signatures: DataFrame, ordered: bool = False
-) -> DataFrame:
+def parse_signature(genes: DataFrame, signatures, ordered: bool = False) -> DataFrame:
+    """(sig_id, pos, idx, sign, weight) of the genes found, renumbered from 1."""
+    args = Arguments()
+    args.flag("ordered", ordered)
+    args.done()
+    table = signature_table(genes.sparkSession, signatures)
+    return _numbered(genes, table, ordered).filter("idx IS NOT NULL")
+
+
+def signature_weights(genes: DataFrame, signatures: DataFrame, ordered: bool = False) -> DataFrame:
     """(sig_id, weights, c_max): one row per signature, also if no gene was found.
 
     `c_max` is the largest sum of weighted ranks the signature can reach.
     """
     return genes.sparkSession.sql(
         """
-        SELECT sig_id, coalesce(weights, array()) AS weights, coalesce(c_max, 1D) AS c_max
-        FROM (SELECT DISTINCT sig_id FROM {signatures})
-        LEFT JOIN (
-          SELECT sig_id, collect_list(struct(idx, weight)) AS weights,
-                 sum(abs(weight) * ((SELECT count(*) FROM {genes}) - pos + 1)) AS c_max
-          FROM {parsed} GROUP BY sig_id
-        ) USING (sig_id)
+        SELECT sig_id,
+               collect_list(if(idx IS NULL, NULL, struct(idx, weight))) AS weights,
+               coalesce(
+                 sum(abs(weight) * ((SELECT count(*) FROM {genes}) - pos + 1))
+                   FILTER (WHERE idx IS NOT NULL),
+                 1D
+               ) AS c_max
+        FROM {numbered} GROUP BY sig_id
         """,
-        signatures=signatures,
         genes=genes,
-        parsed=parse_signature(genes, signatures, ordered),
+        numbered=_numbered(genes, signatures, ordered),
     )
