@@ -1,22 +1,11 @@
 """Expressions over per-gene vectors; each works inside one row, without a shuffle."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sigloom.schema import SIGNIFICANT
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` computed once per row, however often `body` uses it.
-
-    Without the binding, collapsing of projections may copy an expensive `value` into
-    a lambda and evaluate it for every array element.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def count_at_most(p: Column, threshold: float) -> Column:
     """Number of p-values not above `threshold`; 0 without a vector."""
     return F.coalesce(F.size(F.filter(p, lambda x: x <= F.lit(float(threshold)))), F.lit(0))
@@ -27,50 +16,6 @@ def is_informative(p: Column, threshold: float = SIGNIFICANT) -> Column:
     return F.coalesce(F.exists(p, lambda x: x <= F.lit(float(threshold))), F.lit(False))
 
 
-def rank_vector(t: Column) -> Column:
-    """Signed ranks of |t|: smallest 1, largest N, ties share their average rank.
-
-    A zero, null or NaN entry ranks with the zeros and gets 0 itself. All steps work on
-    the array of one row: sort by size, find where a run of equal sizes starts, spread
-    the run's average rank over it, and sort back by position.
-    """
-    zero = F.lit(0.0)
-
-    def entry(x, i):
-        value = F.coalesce(F.nanvl(x, zero), zero)
-        return F.struct(F.abs(value).alias("size"), i.alias("i"), F.signum(value).alias("sign"))
-
-    def from_ordered(ordered):
-        n = F.size(ordered)
-        starts = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda k: (k == 0) | (F.get(ordered, k)["size"] != F.get(ordered, k - 1)["size"]),
-        )
-        return bind(spread(starts, n), lambda ranks: back_in_place(ordered, ranks))
-
-    def spread(starts, n):
-        def run(first, k, all_starts):
-            end = F.coalesce(F.get(all_starts, k + 1), n)
-            return F.array_repeat((first + 1 + end) / F.lit(2.0), end - first)
-
-        return bind(starts, lambda s: F.flatten(F.transform(s, lambda first, k: run(first, k, s))))
-
-    def back_in_place(ordered, ranks):
-        placed = F.transform(
-            ordered, lambda e, k: F.struct(e["i"], (e["sign"] * F.get(ranks, k)).alias("r"))
-        )
-        # Adding 0.0 turns the -0.0 of a negative zero entry into plain 0.0.
-        return F.transform(F.sort_array(placed), lambda e: e["r"] + zero)
-
-    def ranked(v):
-        none = F.array().cast("array<double>")
-        return F.when(F.size(v) == 0, none).when(
-            v.isNotNull(), bind(F.sort_array(F.transform(v, entry)), from_ordered)
-        )
-
-    return bind(t, ranked)
-
-
 def score_sql(ranks: str, signature: str) -> str:
     """Connection score of a rank vector for a resolved (weights, c_max) signature, as SQL.
 

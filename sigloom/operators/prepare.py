@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.arguments import Arguments
-from sigloom.functions.vectors import aligned_sql, rank_vector
+from sigloom.functions.vectors import aligned_sql
 from sigloom.sources.perturbations import conform, with_meta
 
 
@@ -21,21 +21,71 @@ def with_gene_count(frame: DataFrame, genes: DataFrame, name: str = "_n_genes")
     return frame.withColumn(name, gene_count(genes))
 
 
+# An entry of t as it is ranked: null and NaN count as 0.
+ENTRY = "coalesce(nanvl(x, 0D), 0D)"
+
+# Average rank of every entry of the ordered sizes: where the runs of equal sizes start,
+# and the mean place of each run as often as the run is long. One-element arrays name a
+# value for use in a lambda, which would otherwise compute it for every entry.
+TIED_RANKS = """
+    transform(array(_ordered._size), sizes ->
+      transform(array(filter(_places, k -> k = 0 OR sizes[k] <> sizes[k - 1])), starts ->
+        flatten(transform(starts, (first, i) -> array_repeat(
+          (first + 1 + coalesce(get(starts, i + 1), size(sizes))) / 2D,
+          coalesce(get(starts, i + 1), size(sizes)) - first
+        )))
+      )[0]
+    )[0]
+"""
+
+
 def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """Fill `profile.r` with the signed ranks of `profile.t`.
 
-    Every vector is ranked inside its row: map-only, whatever the number of rows. With
-    `genes`, a vector of another length than the gene table fails the job.
+    The smallest |t| has rank 1, the largest N, ties their average; a zero, null or NaN
+    gets 0. With `genes`, a vector of another length than the gene table fails the job.
+
+    Every vector is ranked inside its row: map-only, whatever the number of rows. The
+    steps are columns of their own, since sorting is compiled only outside of lambdas.
     """
-    t = F.col("profile.t")
-    counted, checked = db, t
+    t = "profile.t"
+    counted = db
     if genes is not None:
         counted = with_gene_count(db, genes)
-        checked = F.expr(aligned_sql("profile.t", "_n_genes"))
-    ranked = F.struct(t.alias("t"), F.col("profile.p").alias("p"), rank_vector(checked).alias("r"))
-    return counted.withColumn(
-        "profile", F.when(F.col("profile").isNotNull(), ranked)
-    ).drop("_n_genes")
+        t = aligned_sql(t, "_n_genes")
+    ranked = (
+        counted.withColumn("_t", F.expr(t))
+        .withColumns(
+            {
+                "_size": F.expr(f"transform(_t, x -> abs({ENTRY}))"),
+                "_places": F.expr("slice(sequence(0, size(_t)), 1, size(_t))"),
+            }
+        )
+        .withColumn("_ordered", F.expr("sort_array(arrays_zip(_size, _places))"))
+        .withColumn(
+            "_rank",
+            F.expr(
+                f"""
+                CASE WHEN size(array_distinct(_size)) = size(_size)
+                  THEN cast(slice(sequence(1, size(_t) + 1), 1, size(_t)) AS array<double>)
+                  ELSE {TIED_RANKS} END
+                """
+            ),
+        )
+        .withColumn("_back", F.expr("sort_array(arrays_zip(_ordered._places, _rank))"))
+        # Adding 0 turns -0.0 into plain 0.0. Naming `_back` twice keeps it a column.
+        .withColumn(
+            "_r",
+            F.expr(
+                "if(_back IS NULL, NULL,"
+                f" zip_with(_t, _back._rank, (x, rank) -> signum({ENTRY}) * rank + 0D))"
+            ),
+        )
+    )
+    profile = F.struct("profile.t", "profile.p", F.col("_r").alias("r"))
+    return ranked.withColumn("profile", F.when(F.col("profile").isNotNull(), profile)).select(
+        *db.columns
+    )
 
 
 def _vectors(matrix: DataFrame, name: str) -> DataFrame:

@@ -138,16 +138,16 @@ def score_genes(ranks: DataFrame, resolved: DataFrame) -> DataFrame:
         *[F.col(f"{name}.c_max").alias(f"c_{name}") for name in names],
         F.inline(F.expr(f"concat({nothing}, {', '.join(map(terms_of, names))})")),
     )
-    # At most one number per gene, and a vector's worth of genes: a bounded list that
-    # lets the scan skip all other genes.
-    used = [row.idx for row in terms.select("idx").distinct().collect()]
+    # A block of signatures has a bounded number of weights (block_count). They are
+    # resolved once: the genes in use let the scan skip all others, the rest is broadcast.
+    rows = terms.toArrow()
+    used = rows["idx"].unique().to_pylist()
     sums = [
         (F.sum(F.col("r") * F.col(n)) / F.first(f"c_{n}") + F.lit(0.0)).alias(n) for n in names
     ]
-    # A block of signatures has a bounded number of weights (block_count).
     return (
         ranks.filter(F.col("idx").isin(used))
-        .join(F.broadcast(terms), "idx")
+        .join(F.broadcast(ranks.sparkSession.createDataFrame(rows)), "idx")
         .groupBy("sig_id", "id")
         .agg(*sums)
     )
