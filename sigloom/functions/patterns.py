@@ -4,7 +4,6 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # A query with one of these characters is a regular expression.
 REGEX_MARKS = ".*+?[](){}|^$\\"
