@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.llm import quality_rules
+from sigloom.llm import language_id, quality_rules
 from sigloom.llm.common import table
 
 QUERIES = {}
@@ -22,3 +22,8 @@ def query(oracle: str | None = None):
 @query(quality_rules.ORACLE)
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_language_id(spark, sf_dir):
+    return language_id.report(table(spark, sf_dir, "documents"))
