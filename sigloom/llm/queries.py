@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sigloom.llm import language_id, quality_rules
+import public_tokenizers
+
+from sigloom.llm import language_id, quality_rules, sentencepiece_bpe
 from sigloom.llm.common import table
 
 QUERIES = {}
@@ -27,3 +29,10 @@ def op3_quality_rules(spark, sf_dir):
 @query()
 def op10_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_sentencepiece(spark, sf_dir):
+    return sentencepiece_bpe.digests(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )

@@ -5,8 +5,10 @@ goes on past the start of a new run of marks (``Vocabulary`` checks this), so a
 units, each a run of marks and what follows it. A unit's adjacent symbol pairs that form a piece
 stand on an agenda ordered by score, then by place; the best pair is merged and its new
 neighbours join the agenda until none is left. Symbols outside the vocabulary become their UTF-8
-bytes. Units are remembered up to a bound, as words recur. All that is new to a task is checked,
-per Arrow batch, against the sentencepiece library, and so is the first whole text of each batch.
+bytes. Two characters that stand side by side in no piece part a unit further ("word" and ","),
+and these parts are remembered up to a bound, as words recur. In every Arrow batch, whole texts
+(the first and every ``CHECK_EVERY``-th) are encoded and decoded by the sentencepiece library as
+well; a difference is an error.
 
 Defined results: null is encoded like empty text, as no ids; texts of any length are encoded
 whole (memory beyond the text itself follows its longest unit); equal rows give equal results; an
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-REMEMBERED = 300_000  # units for each Python worker
-LONGEST = 64  # characters of a unit that is remembered
+REMEMBERED = 400_000  # units and parts for each Python worker
+LONGEST = 48  # characters of a unit that is remembered
+CHECK_EVERY = 64
 
 _NORMAL, _BYTE = 1, 6
 _unit = re.compile(f"{MARK}+[^{MARK}]*")
@@ -85,7 +88,18 @@ class Vocabulary:
                     raise ValueError("the model changes texts before it encodes them")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.rank):
             raise ValueError("the model has pieces that span words")
-        self.line_break_merges = any("\n" in p and len(p) > 1 for p in self.rank)
+        self.together = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.numbers = [str(i) for i in range(len(self.pieces))]
+        self.spelled = [p.replace(MARK, " ") for p in self.pieces]
+        self.special = set(range(len(self.pieces))) - set(self.ids.values())
+
+    def parted(self, unit: str) -> list[str]:
+        """unit, cut between all characters that stand side by side in no piece."""
+        together = self.together
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in together]
+        if not cuts:
+            return [unit]
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
 
     def _add(self, piece: dict) -> None:
         at, text, kind = len(self.pieces), piece[1].decode(), piece.get(3, _NORMAL)
@@ -107,11 +121,8 @@ class Vocabulary:
         symbols = list(text)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in rank:
-                agenda.append((rank[pair], i, pair))
+        pairs = [text[i : i + 2] for i in range(n - 1)]
+        agenda = [(rank[p], i, p) for i, p in enumerate(pairs) if p in rank]
         heapify(agenda)
         while agenda:
             _, i, pair = heappop(agenda)
@@ -144,6 +155,8 @@ class Vocabulary:
 
     def plain(self, ids: list[int]) -> str:
         """The text of ids, with a space for each mark; bytes that are no UTF-8 become U+FFFD."""
+        if self.special.isdisjoint(ids):
+            return "".join([self.spelled[i] for i in ids])
         out, run = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -153,52 +166,53 @@ class Vocabulary:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
             if i not in self.silent:
-                out.append(self.pieces[i] if i in self._known else " ⁇ ")
+                out.append(" ⁇ " if i in self.special else self.spelled[i])
         if run:
             out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")
-
-    @property
-    def _known(self) -> set[int]:
-        if "_normal" not in self.__dict__:
-            self._normal = set(self.ids.values())
-        return self._normal
+        return "".join(out)
 
 
 class _Units(dict):
-    """Unit without its first mark -> (its ids as text, its plain text); misses are encoded."""
+    """Unit without its first mark, or part of a unit after a mark sign -> (its ids as text, its
+    plain text). What is missing is encoded."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.new = vocabulary, []
+        self.vocabulary = vocabulary
 
     def __missing__(self, unit: str) -> tuple[str, str]:
         v = self.vocabulary
-        if "\n" in unit and not v.line_break_merges:
-            return self._by_line(unit)
-        ids = v.merge(MARK + unit)
-        value = ",".join(map(str, ids)), v.plain(ids)
-        if len(unit) <= LONGEST:
+        parts = [MARK + unit] if unit.isalpha() else v.parted(MARK + unit)
+        if len(parts) == 1:
+            value = self.one(MARK + unit)
+        else:
+            # A part never starts with a mark but the first, so keys of both kinds differ.
+            head, *rest = parts
+            found = [self[head[1:]] if len(head) > 1 else self.one(head)]
+            for p in rest:
+                key = "\0" + p
+                if key in self:
+                    found.append(self[key])
+                else:
+                    found.append(self._keep(key, self.one(p)))
+            value = ",".join([f[0] for f in found]), "".join([f[1] for f in found])
+        return self._keep(unit, value)
+
+    def one(self, part: str) -> tuple[str, str]:
+        v = self.vocabulary
+        ids = v.merge(part)
+        return ",".join([v.numbers[i] for i in ids]), v.plain(ids)
+
+    def _keep(self, key: str, value: tuple[str, str]) -> tuple[str, str]:
+        if len(key) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[unit] = value
-        self.new.append((unit, ids))
+            self[key] = value
         return value
 
-    def _by_line(self, unit: str) -> tuple[str, str]:
-        # A line break is in no longer piece, so what stands on its sides is independent.
-        first, *rest = unit.split("\n")
-        ids, text = self[first]
-        v = self.vocabulary
-        for line in rest:
-            own = v.merge("\n" + line)
-            ids += "," + ",".join(map(str, own))
-            text += v.plain(own)
-        return ids, text
-
 
 class Encoder:
-    """Encodes and decodes texts with one model; checks what is new against the library."""
+    """Encodes and decodes texts with one model; can check itself against the library."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -211,12 +225,17 @@ class Encoder:
         """(ids as text, plain text) of each unit."""
         if not text:
             return []
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text or "\0" in text:
             units = [u[1:] for u in _unit.findall(MARK + text.replace(" ", MARK))]
+            if "\0" in text:
+                return [p for u in units for p in self._uncached(u)]
         else:
             units = text.split(" ")
         return list(map(self.units.__getitem__, units))
 
+    def _uncached(self, unit: str) -> list[tuple[str, str]]:
+        return [self.units.one(p) for p in self.vocabulary.parted(MARK + unit)]
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _ in self.parts(text) for i in ids.split(",")]
 
@@ -224,18 +243,11 @@ class Encoder:
         plain = self.vocabulary.plain(ids)
         return plain[1:] if plain[:1] == " " else plain
 
-    def check(self, text: str | None = None) -> None:
-        """Raises if the library encodes or decodes what is new, or the whole text, otherwise."""
-        new, self.units.new = self.units.new, []
-        if new:
-            theirs = self.library.encode([u for u, _ in new], num_threads=1)
-            for (unit, ids), other in zip(new, theirs, strict=True):
-                # The library gives no ids for empty text; here it is a mark between others.
-                if ids != other and unit:
-                    raise ValueError(f"sentencepiece encodes {unit!r} as {other}, not {ids}")
-        if text:
+    def check(self, texts: list[str | None]) -> None:
+        """Raises if the library encodes or decodes every CHECK_EVERY-th text otherwise."""
+        for text in texts[::CHECK_EVERY]:
             ids = self.encode(text)
-            if ids != self.library.encode(text) or self.decode(ids) != self.library.decode(ids):
+            if ids != self.library.encode(text or "") or self.decode(ids) != self.library.decode(ids):
                 raise ValueError(f"sentencepiece encodes or decodes {text[:200]!r} otherwise")
 
 
@@ -260,7 +272,7 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text: str = "tex
         for batch in batches:
             texts = batch.to_pylist()
             yield pa.array([own.encode(t) for t in texts], pa.list_(pa.int32()))
-            own.check(texts[0] if texts else None)
+            own.check(texts)
 
     return docs.withColumn(name, ids_of(F.col(text)))
 
@@ -310,7 +322,7 @@ def digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                         "decoded_sha256": sha256(plain.encode()).hexdigest(),
                     }
                 )
-            own.check(texts[0] if texts else None)
+            own.check(texts)
             yield pa.array(rows, _digest)
 
     return docs.select("doc_id", digest(F.col(text)).alias("d")).select("doc_id", "d.*")
