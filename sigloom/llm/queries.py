@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sigloom.llm import language_id, quality_rules, sentencepiece_bpe
+from sigloom.llm import decontaminate, language_id, quality_rules, sentencepiece_bpe
 from sigloom.llm.common import table
 
 QUERIES = {}
@@ -36,3 +36,8 @@ def op2_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+@query(decontaminate.ORACLE)
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
