@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sigloom.llm import decontaminate, language_id, quality_rules, sentencepiece_bpe
+from sigloom.llm import decontaminate, language_id, ngram_join, quality_rules, sentencepiece_bpe
 from sigloom.llm.common import table
 
 QUERIES = {}
@@ -41,3 +41,8 @@ def op2_sentencepiece(spark, sf_dir):
 @query(decontaminate.ORACLE)
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.report(table(spark, sf_dir, "documents"))
