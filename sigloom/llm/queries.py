@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sigloom.llm import decontaminate, language_id, ngram_join, quality_rules, sentencepiece_bpe
+from sigloom.llm import (
+    decontaminate,
+    language_id,
+    ngram_join,
+    quality_rules,
+    sentencepiece_bpe,
+    suffix_dedup,
+)
 from sigloom.llm.common import table
 
 QUERIES = {}
@@ -46,3 +53,8 @@ def op9_decontaminate(spark, sf_dir):
 @query()
 def op5_ngram_join(spark, sf_dir):
     return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
