@@ -11,6 +11,7 @@ from sigloom.llm import (
     quality_rules,
     sentencepiece_bpe,
     suffix_dedup,
+    toxicity,
 )
 from sigloom.llm.common import table
 
@@ -58,3 +59,8 @@ def op5_ngram_join(spark, sf_dir):
 @query()
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
