@@ -3,7 +3,7 @@
 ``fit`` learns from a bounded sample of labelled documents: words, and stems that many words
 start with, which stand in toxic documents far more often than in others, form the lexicon. Its
 trie is intersected with Levenshtein automata (one edit for terms of ``EDIT_FROM`` letters or
-more); the product is made deterministic as words are read, so that most words leave it after a
+more, unless a word that close to them is common in harmless documents); the product is made deterministic as words are read, so that most words leave it after a
 few letters. Each hit is weighed by a window of words around it: in quotation marks or after a
 word of reporting it counts ``QUOTED`` of a hit, since it is then mentioned rather than meant. A
 logistic regression turns counts of hits into a score.
@@ -62,30 +62,33 @@ class Matcher:
 
     EXACT, CLOSE, STEMMED = 1, 2, 3
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], edited: list[str]):
         self.children: list[dict[str, int]] = [{}]
-        self.word_at: dict[int, int] = {}  # node -> letters of the term that ends there
+        self.editable = [False]  # whether a term that may be misspelled is at or below a node
+        self.word_at: set[int] = set()
+        self.edited_at: dict[int, str] = {}
         self.stem_at: set[int] = set()
-        self.longest = [0]  # letters of the longest term below a node
         for term in words:
-            self.word_at[self._insert(term)] = len(term)
+            self.word_at.add(self._insert(term, False))
+        for term in edited:
+            self.edited_at[self._insert(term, True)] = term
         for term in stems:
-            self.stem_at.add(self._insert(term))
+            self.stem_at.add(self._insert(term, False))
         self.states: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.start = self._state(self._closed({(0, 0)}))
 
-    def _insert(self, term: str) -> int:
+    def _insert(self, term: str, editable: bool) -> int:
         node = 0
-        self.longest[0] = max(self.longest[0], len(term))
+        self.editable[0] |= editable
         for letter in term:
             if letter not in self.children[node]:
                 self.children[node][letter] = len(self.children)
                 self.children.append({})
-                self.longest.append(0)
+                self.editable.append(False)
             node = self.children[node][letter]
-            self.longest[node] = max(self.longest[node], len(term))
+            self.editable[node] |= editable
         return node
 
     def _closed(self, state: set[tuple[int, int]]) -> frozenset:
@@ -93,7 +96,7 @@ class Matcher:
         more = {
             (child, 1)
             for node, edits in state
-            if edits == 0 and self.longest[node] >= EDIT_FROM
+            if edits == 0 and self.editable[node]
             for child in self.children[node].values()
         }
         return frozenset(state | more)
@@ -111,7 +114,7 @@ class Matcher:
             child = self.children[node].get(letter)
             if child is not None:
                 out.add((child, edits))
-            if edits == 0 and self.longest[node] >= EDIT_FROM:
+            if edits == 0 and self.editable[node]:
                 out.add((node, 1))  # a letter too many
                 out.update((c, 1) for c in self.children[node].values())  # another letter
         to = self._state(self._closed(out)) if out else -1
@@ -129,35 +132,45 @@ class Matcher:
                 return self.STEMMED if stem else 0
             if not stem and any(e == 0 and n in self.stem_at for n, e in self.states[state]):
                 stem = True
-        ends = {
-            e
-            for n, e in self.states[state]
-            if n in self.word_at and (e == 0 or self.word_at[n] >= EDIT_FROM)
-        }
-        if 0 in ends:
+        state = self.states[state]
+        if any(e == 0 and n in self.word_at for n, e in state):
             return self.EXACT
-        return self.STEMMED if stem else self.CLOSE if ends else 0
+        return self.STEMMED if stem else self.CLOSE if self._edited(state) else 0
+
+    def _edited(self, state: frozenset) -> list[str]:
+        return [self.edited_at[n] for n, _ in state if n in self.edited_at]
+
+    def close_terms(self, word: str) -> list[str]:
+        """Terms that the word is an edit away from."""
+        state = self.start
+        for letter in word:
+            to = self.moves[state].get(letter)
+            state = self._move(state, letter) if to is None else to
+            if state < 0:
+                return []
+        return sorted({t for t in self._edited(self.states[state]) if t != word})
 
 
 @dataclass
 class Model:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    edited: list[str] = field(default_factory=list)  # words that may be misspelled
     weights: np.ndarray | None = None  # intercept first
     _matcher: Matcher | None = None
     _known: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self) -> tuple:
-        return self.words, self.stems, self.weights
+        return self.words, self.stems, self.edited, self.weights
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.stems, self.weights = state
+        self.words, self.stems, self.edited, self.weights = state
         self._matcher, self._known = None, {}
 
     def kinds(self, tokens: list[str]) -> list[int]:
         """Kind of match of each token; short tokens recur and are remembered."""
         if self._matcher is None:
-            self._matcher = Matcher(self.words, self.stems)
+            self._matcher = Matcher(self.words, self.stems, self.edited)
         match, known = self._matcher.match, self._known
         out = []
         for t in tokens:
@@ -206,8 +219,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Data
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
-def lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and stems that stand in toxic documents far more often than in others."""
+def lexicon(rows: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Words and stems that stand in toxic documents far more often than in others, and those of
+    the words whose misspellings do not stand in harmless documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     numbered = rows.select("toxic", F.monotonically_increasing_id().alias("d"), F.explode(words).alias("w"))
     numbered = stored(rows.sparkSession, numbered.where(F.length("w") >= STEM[0]), "words")
@@ -241,7 +255,17 @@ def lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     for s in sorted(top(candidates.join(kinds, "term")), key=lambda s: (len(s), s)):
         if not s.startswith(tuple(stems)):
             stems.append(s)
-    return [w for w in own if not w.startswith(tuple(stems))], stems
+    words = [w for w in own if not w.startswith(tuple(stems))]
+    matcher = Matcher(words, stems, [w for w in words if len(w) >= EDIT_FROM])
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def close(batch: pa.Array) -> pa.Array:
+        return pa.array([matcher.close_terms(w) for w in batch.to_pylist()], pa.list_(pa.string()))
+
+    harmless = numbered.where(F.col("toxic") == 0).groupBy("w").agg(F.count("*").alias("n"))
+    near = harmless.select("n", F.explode(close("w")).alias("term")).groupBy("term").agg(F.sum("n").alias("n"))
+    common = {r["term"] for r in near.where(F.col("n") >= LEAST_DOCS).collect()}
+    return words, stems, sorted(set(matcher.edited_at.values()) - common)
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -274,6 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         x, y = np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found])
         order = np.lexsort((*x.T, y))  # sums do not depend on the order of rows
         model.weights = _regression(x[order], y[order])
+        # Few misspellings are seen in the sample: one counts half of the term at least.
+        model.weights[2] = max(model.weights[2], model.weights[1] / 2)
     return model
 
 
