@@ -6,6 +6,7 @@ import public_tokenizers
 
 from sigloom.llm import (
     decontaminate,
+    html_extract,
     language_id,
     ngram_join,
     quality_rules,
@@ -64,3 +65,8 @@ def op1_suffix_dedup(spark, sf_dir):
 @query()
 def op4_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_html_extract(spark, sf_dir):
+    return html_extract.report(table(spark, sf_dir, "pages"))
