@@ -12,6 +12,7 @@ from sigloom.llm import (
     quality_rules,
     sentencepiece_bpe,
     suffix_dedup,
+    token_output,
     toxicity,
 )
 from sigloom.llm.common import table
@@ -70,3 +71,10 @@ def op4_toxicity(spark, sf_dir):
 @query()
 def op6_html_extract(spark, sf_dir):
     return html_extract.report(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_token_output(spark, sf_dir):
+    return token_output.report(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
