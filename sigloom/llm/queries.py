@@ -8,6 +8,7 @@ from sigloom.llm import (
     decontaminate,
     html_extract,
     language_id,
+    license_scan,
     ngram_join,
     quality_rules,
     sentencepiece_bpe,
@@ -78,3 +79,8 @@ def op8_token_output(spark, sf_dir):
     return token_output.report(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@query()
+def op7_license_scan(spark, sf_dir):
+    return license_scan.report(table(spark, sf_dir, "documents"))
