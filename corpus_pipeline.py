@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sigloom.llm import quality_rules
+from sigloom.llm import decontaminate, ngram_join, quality_rules, sentencepiece_bpe, suffix_dedup
 from sigloom.llm.common import stored, table
 
 
@@ -13,11 +15,51 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", good_documents)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by shared five-word shingles."""
+    return ngram_join.keep_one(docs, size=5, percent=80)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without strings that stand in the corpus twice; n_chars follows the text."""
+    shorter = suffix_dedup.dedup(docs)
+    return shorter.withColumn(
+        "n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    )
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, token ids, their number, and whether decoding gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), model)
+    back = sentencepiece_bpe.decode(ids, model, name="decoded")
+    return back.select(
+        "doc_id",
+        "lang",
+        "source",
+        "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("SentencePiece", encoded),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after another; each result is written once and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
