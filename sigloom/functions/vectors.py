@@ -8,7 +8,9 @@ from sigloom.schema import SIGNIFICANT
 
 def count_at_most(p: Column, threshold: float) -> Column:
     """Number of p-values not above `threshold`; 0 without a vector."""
-    return F.coalesce(F.size(F.filter(p, lambda x: x <= F.lit(float(threshold)))), F.lit(0))
+    # Without ANSI mode, the size of null is -1.
+    found = F.size(F.filter(p, lambda x: x <= F.lit(float(threshold))))
+    return F.when(p.isNotNull(), found).otherwise(F.lit(0))
 
 
 def is_informative(p: Column, threshold: float = SIGNIFICANT) -> Column:
@@ -33,7 +35,7 @@ def score_sql(ranks: str, signature: str) -> str:
 def aligned_sql(vector: str, n_genes: str) -> str:
     """`vector` itself; the query fails if its length is not the number of genes."""
     return (
-        f"if(size({vector}) <> {n_genes}, raise_error(concat("
+        f"if({vector} IS NOT NULL AND size({vector}) <> {n_genes}, raise_error(concat("
         f"'a vector has ', size({vector}), ' entries, genes: ', {n_genes})), {vector})"
     )
 

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from sigloom.functions.arguments import Arguments
 from sigloom.functions.vectors import aligned_sql
 from sigloom.operators.prepare import with_gene_count
+from sigloom.operators.signatures import SINGLE
 from sigloom.schema import SIGNIFICANT
 
 
 def generate_signature(
     db: DataFrame, genes: DataFrame, samples=None, pvalue: float = SIGNIFICANT
 ) -> DataFrame:
-    """(pos, gene): genes changed over the samples, strongest first, `-` for down.
+    """(sig_id, pos, token): genes changed over the samples, strongest first, `-` for down.
+
+    The result is a signature as all scores take it.
 
     A gene is kept if its median p-value is at most `pvalue` and its median t is not 0.
     A sample without p-values still counts for the medians of t.
@@ -38,8 +41,9 @@ def generate_signature(
     return (
         medians.join(genes.select("index", symbol.alias("symbol")), "index")
         .select(
+            F.lit(SINGLE).alias("sig_id"),
             F.row_number().over(order).alias("pos"),
-            F.concat(F.when(F.col("t") < 0, "-").otherwise(""), "symbol").alias("gene"),
+            F.concat(F.when(F.col("t") < 0, "-").otherwise(""), "symbol").alias("token"),
         )
         .orderBy("pos")
     )

@@ -58,7 +58,7 @@ def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
         .withColumns(
             {
                 "_size": F.expr(f"transform(_t, x -> abs({ENTRY}))"),
-                "_places": F.expr("slice(sequence(0, size(_t)), 1, size(_t))"),
+                "_places": F.expr("if(_t IS NULL, NULL, slice(sequence(0, size(_t)), 1, size(_t)))"),
             }
         )
         .withColumn("_ordered", F.expr("sort_array(arrays_zip(_size, _places))"))
@@ -66,7 +66,8 @@ def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
             "_rank",
             F.expr(
                 f"""
-                CASE WHEN size(array_distinct(_size)) = size(_size)
+                CASE WHEN _t IS NULL THEN NULL
+                  WHEN size(array_distinct(_size)) = size(_size)
                   THEN cast(slice(sequence(1, size(_t) + 1), 1, size(_t)) AS array<double>)
                   ELSE {TIED_RANKS} END
                 """

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sigloom.functions.arguments import Arguments
 from sigloom.operators import flat, generate, histograms, lookup, scoring
 from sigloom.operators.prepare import rank_vectors
-from sigloom.operators.signatures import check_signature
+from sigloom.operators.signatures import check_signature, parse_signature
+from sigloom.schema import SIGNIFICANT
 from sigloom.sources.genes import read_genes
 from sigloom.sources.inventory import probe_versions, select_version
 from sigloom.sources.layouts import read_gene_major
@@ -48,6 +49,18 @@ class Engine:
     def counts(self) -> DataFrame:
         return flat.db_counts(self.db)
 
+    def informative(self, threshold: float = SIGNIFICANT) -> DataFrame:
+        return flat.informative(self.db, threshold)
+
+    def apply_filters(self, filters=None) -> DataFrame:
+        return flat.apply_filters(self.db, filters)
+
+    def select_features(self, features=".*") -> DataFrame:
+        return scoring.select_features(self.db, features)
+
+    def parse_signature(self, signatures, ordered: bool = False) -> DataFrame:
+        return parse_signature(self.genes, signatures, ordered)
+
     def check_signature(self, signatures=".*") -> DataFrame:
         return check_signature(self.genes, signatures)
 
@@ -132,16 +145,18 @@ def load(
     multiplicity: int = 1,
     storage_level: str | None = None,
     ranks_path: str | None = None,
-    gene_order: str | list[str] = "gene_id",
+    gene_order: str | list[str] | None = None,
 ) -> Engine:
     """Find the inputs, keep those of one version, and open them with the gene table.
 
-    Nothing but the choice of inputs runs now. Data without stored ranks are ranked as
+    `gene_order` names the columns whose order the vectors follow. Nothing but the choice of
+    inputs runs now. Data without stored ranks are ranked as
     they are read; `storage_level` keeps the opened database cached between queries.
     """
     args = Arguments()
     args.words("paths", [paths] if isinstance(paths, str) else paths)
     args.text("gene_annotations", gene_annotations)
+    args.words("gene_order", gene_order)
     args.positive("multiplicity", multiplicity)
     args.require(
         multiplicity == 1 or ranks_path is None, "a gene-major copy needs multiplicity 1"

@@ -1,5 +1,6 @@
 """Where jobs of a session may write tables that all executors can read."""
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,12 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder that the cluster names.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    The folder is the session's `spark.checkpoint.dir`. Only a local master, whose tasks run
+    in the driver's process, may do without the setting; a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sigloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -19,12 +19,13 @@ def _identifier_set(raw: DataFrame, name: str) -> Column:
     return F.when(text.isNotNull(), F.array(text)).alias(name)
 
 
-def load_genes(raw: DataFrame, order_by: str | list[str] = "gene_id") -> DataFrame:
+def load_genes(raw: DataFrame, order_by: str | list[str] | None = None) -> DataFrame:
     """Gene table from raw annotations (gene_id, gene_symbol, landmark, best_inferred).
 
-    Other columns are dropped. `index` is the 1-based position of the gene in every profile vector and follows
-    `order_by`, which must order the rows uniquely. The numbering runs in one task: a
-    gene table has as many rows as a single vector has entries.
+    Other columns are dropped. `index` is the 1-based position of the gene in every profile
+    vector. It follows `order_by`, which has to be named: a wrong order gives wrong scores,
+    not errors. The job fails if those columns have nulls or repeat. The numbering runs in
+    one task: a gene table has as many rows as a single vector has entries.
     """
     args = Arguments()
     columns = args.words("order_by", order_by)
@@ -36,9 +37,17 @@ def load_genes(raw: DataFrame, order_by: str | list[str] = "gene_id") -> DataFra
         F.lit("-"),
         F.col("best_inferred").cast("int").cast("string"),
     )
+    in_order = Window.orderBy(*columns)
+    this = F.struct(*columns)
+    unfit = this.eqNullSafe(F.lag(this).over(in_order))
+    for name in columns:
+        unfit = unfit | F.col(name).isNull()
+    index = F.when(
+        unfit, F.raise_error(F.lit(f"genes are not uniquely ordered by {', '.join(columns)}")).cast("int")
+    ).otherwise(F.row_number().over(in_order))
     identifiers = {n: _identifier_set(raw, n) for n in OPTIONAL_IDENTIFIERS}
     return raw.select(
-        F.row_number().over(Window.orderBy(*columns)).alias("index"),
+        index.alias("index"),
         F.col("gene_id").alias("id"),
         F.array("gene_symbol").alias("symbol"),
         *identifiers.values(),
@@ -60,7 +69,7 @@ def read_genes(
     spark: SparkSession,
     path: str,
     names: dict[str, str] | None = None,
-    order_by: str | list[str] = "gene_id",
+    order_by: str | list[str] | None = None,
 ) -> DataFrame:
     """Read Parquet gene annotations and shape them with the two steps above."""
     return map_gene_datatypes(load_genes(spark.read.parquet(path), order_by), names)

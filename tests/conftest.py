@@ -84,7 +84,7 @@ def wide_values(spark):
         (F.col("id") % 2 == 0).alias("landmark"),
         (F.col("id") % 3 == 0).alias("best_inferred"),
     )
-    genes = load_genes(raw)
+    genes = load_genes(raw, order_by="gene_id")
     rows = spark.range(300).withColumnRenamed("id", "i")
     # A third of all rows are samples of one compound in one cell.
     hot = i % 3 == 0

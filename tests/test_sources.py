@@ -103,13 +103,13 @@ def test_load_genes(genes):
 
 def test_load_genes_keeps_given_identifiers_and_null_flags(raw_genes):
     more = raw_genes.withColumn("entrezid", F.lit("77")).withColumn("landmark", F.lit(None).cast("boolean"))
-    row = load_genes(more).first()
+    row = load_genes(more, "gene_id").first()
     assert row.entrezid == ["77"] and row.dataType is None
 
 
 def test_load_genes_reports_all_missing_columns(raw_genes):
     with pytest.raises(ArgumentError) as error:
-        load_genes(raw_genes.drop("landmark", "gene_symbol"))
+        load_genes(raw_genes.drop("landmark", "gene_symbol"), "gene_id")
     assert len(error.value.problems) == 2
 
 

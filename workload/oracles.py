@@ -7,7 +7,13 @@ BASE = """
 raw_genes AS (
   SELECT i::int AS i, printf('P%03d', i) AS gene_id, printf('GENE%02d', i) AS gene_symbol,
          (i % 4 <> 0)::int::varchar || '-' || (i % 5 <> 0)::int::varchar AS data_type
-  FROM range(1, 65) AS g(i)
+  FROM (SELECT unnest(range(1, max(len(embedding)) + 1)) AS i FROM embeddings)
+),
+part_genes AS (
+  SELECT (row_number() OVER (ORDER BY p_partkey))::int AS i, printf('P%06d', p_partkey) AS gene_id,
+         p_name AS gene_symbol, p_type AS family,
+         (p_size % 4 <> 0)::int::varchar || '-' || (p_size % 5 <> 0)::int::varchar AS data_type
+  FROM part
 ),
 lookup AS (
   SELECT gene_id AS name, i AS idx, gene_symbol AS symbol, data_type FROM raw_genes
@@ -15,13 +21,20 @@ lookup AS (
   SELECT gene_symbol, i, gene_symbol, data_type FROM raw_genes
 ),
 part_targets AS (
-  SELECT l_partkey, list_sort(list(DISTINCT printf('GENE%02d', l_suppkey % 64 + 1))) AS targets
-  FROM lineitem WHERE l_quantity >= 48 GROUP BY l_partkey
+  SELECT l_partkey AS key,
+         list_sort(list(DISTINCT printf('GENE%02d', l_suppkey % (SELECT count(*) FROM raw_genes) + 1)))
+           AS targets
+  FROM lineitem GROUP BY l_partkey
+),
+lines AS (
+  SELECT *, concat_ws('_', 'PERT', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+         l_orderkey * 31 + l_linenumber * 7 + l_partkey * 3 + l_suppkey AS number
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
 ),
 db AS (
-  SELECT printf('PERT_%05d', vec_id) AS id,
+  SELECT id,
          '1.0' AS version,
-         CASE WHEN vec_id % 33 <> 32 THEN n_name END AS cell,
+         CASE WHEN number % 33 <> 32 THEN n_name END AS cell,
          CASE p_type WHEN 'ECONOMY' THEN 'trt_cp' WHEN 'STANDARD' THEN 'trt_cp'
                      WHEN 'LARGE' THEN 'trt_oe' WHEN 'MEDIUM' THEN 'trt_sh'
                      WHEN 'PROMO' THEN 'trt_lig' WHEN 'SMALL' THEN 'ctl_vehicle' END AS trt_type,
@@ -30,18 +43,20 @@ db AS (
          p_size::varchar AS dose,
          p_brand AS smiles,
          coalesce(targets, []::varchar[]) AS targets,
-         CASE WHEN vec_id % 50 <> 49 THEN embedding::double[] END AS t,
-         vec_id % 50 <> 49 AND vec_id % 40 <> 39 AS has_p
-  FROM embeddings
-  JOIN part ON p_partkey = vec_id % 200
-  JOIN nation ON n_nationkey = vec_id % 25
-  LEFT JOIN part_targets ON l_partkey = p_partkey
+         CASE WHEN number % 50 <> 49 THEN embedding::double[] END AS t,
+         number % 50 <> 49 AND number % 40 <> 39 AS has_p
+  FROM lines
+  JOIN part ON p_partkey = l_partkey
+  JOIN supplier ON s_suppkey = l_suppkey
+  JOIN nation ON n_nationkey = s_nationkey
+  JOIN embeddings ON vec_id = number % (SELECT max(vec_id) + 1 FROM embeddings)
+  LEFT JOIN part_targets ON key = p_partkey
 ),
 vals AS (
   SELECT id, idx, t,
          CASE WHEN has_p THEN 1.0::double / (1.0::double + 300.0::double * t * t) END AS p
   FROM (
-    SELECT id, has_p, unnest(range(1, 65))::int AS idx, unnest(t) AS t
+    SELECT id, has_p, unnest(range(1, len(t) + 1))::int AS idx, unnest(t) AS t
     FROM db WHERE t IS NOT NULL
   )
 ),
@@ -82,8 +97,8 @@ tokens AS (
   SELECT l_orderkey::varchar AS sig_id, l_linenumber AS pos,
          CASE WHEN l_returnflag = 'R' THEN '-' ELSE '' END
          || CASE WHEN l_partkey % 17 = 0 THEN 'NotKnown'
-                 WHEN l_linenumber % 2 = 0 THEN printf('P%03d', l_suppkey % 64 + 1)
-                 ELSE printf('GENE%02d', l_suppkey % 64 + 1) END AS token
+                 WHEN l_linenumber % 2 = 0 THEN printf('P%03d', l_suppkey % (SELECT count(*) FROM raw_genes) + 1)
+                 ELSE printf('GENE%02d', l_suppkey % (SELECT count(*) FROM raw_genes) + 1) END AS token
   FROM lineitem
 )
 """
@@ -92,7 +107,7 @@ NATION_TOKENS = """
 tokens AS (
   SELECT 'nation' || s_nationkey::varchar AS sig_id, s_suppkey::int AS pos,
          CASE WHEN s_acctbal < 0 THEN '-' ELSE '' END
-         || printf('GENE%02d', s_suppkey % 64 + 1) AS token
+         || printf('GENE%02d', s_suppkey % (SELECT count(*) FROM raw_genes) + 1) AS token
   FROM supplier
 )
 """
@@ -135,7 +150,7 @@ def scores(ordered: bool = False, where: str = "true") -> str:
         parsed(ordered)
         + f""",
 reach AS (
-  SELECT sig_id, sum((64 - pos + 1) * abs(weight)) AS c_max FROM parsed GROUP BY sig_id
+  SELECT sig_id, sum(((SELECT count(*) FROM raw_genes) - pos + 1) * abs(weight)) AS c_max FROM parsed GROUP BY sig_id
 ),
 scores AS (
   SELECT s.sig_id, d.id, coalesce(any_value(z.zhang), 0.0::double) AS zhang
@@ -196,7 +211,7 @@ FROM pairs GROUP BY ALL"""
 ANNOTATED = """
 SELECT id, {version} AS version, {cell} AS cell, trt_type, trt_id, trt_name, dose,
        {smiles} AS smiles, array_to_string(targets, ',') AS targets, len(t)::int AS n_t,
-       CASE WHEN has_p THEN 64::int END AS n_p, {n_r} AS n_r
+       CASE WHEN has_p THEN len(t)::int END AS n_p, {n_r} AS n_r
 FROM db"""
 
 
@@ -226,12 +241,11 @@ FROM db {{where}} GROUP BY ALL"""
 
 
 def gene_rows(data_type: str) -> str:
-    empty = ", ".join(
-        f"NULL::varchar AS {quoted}" for quoted in ("entrezid", "ensemblid", "name", '"geneFamily"')
-    )
+    empty = ", ".join(f"NULL::varchar AS {name}" for name in ("entrezid", "ensemblid", "name"))
     return f"""
-SELECT i AS index, gene_id AS id, gene_symbol AS symbol, {empty}, {data_type} AS "dataType"
-FROM raw_genes"""
+SELECT i AS index, gene_id AS id, gene_symbol AS symbol, {empty}, family AS "geneFamily",
+       {data_type} AS "dataType"
+FROM part_genes"""
 
 
 MAPPED = "CASE data_type WHEN '1-1' THEN 'L1000' WHEN '0-1' THEN 'BING' WHEN '0-0' THEN 'AIG' WHEN '1-0' THEN 'INVALID' ELSE data_type END"
@@ -256,12 +270,12 @@ ORDER BY db.trt_name, db.id LIMIT {limit}"""
 
 
 def generated(p_value: float) -> str:
-    samples = ", ".join(f"'{s}'" for s in q.SAMPLES.split())
     return f"""
-SELECT row_number() OVER (ORDER BY abs(t) DESC, idx)::int AS pos,
-       CASE WHEN t < 0 THEN '-' ELSE '' END || gene_symbol AS gene
+SELECT 'signature' AS sig_id, row_number() OVER (ORDER BY abs(t) DESC, idx)::int AS pos,
+       CASE WHEN t < 0 THEN '-' ELSE '' END || gene_symbol AS token
 FROM (
-  SELECT idx, median(t) AS t, median(p) AS p FROM vals WHERE id IN ({samples}) GROUP BY idx
+  SELECT idx, median(t) AS t, median(p) AS p FROM vals
+  WHERE id IN (SELECT id FROM lines ORDER BY id LIMIT 4) GROUP BY idx
 ) JOIN raw_genes ON i = idx
 WHERE p <= {p_value} AND t <> 0"""
 
@@ -350,7 +364,7 @@ ORDER BY trt_id, trt_name LIMIT 10"""),
 SELECT id, 'version=1.0,processingDate=2024-01-01' AS meta, db.cell, db.trt_type, trt_id,
        db.trt_name, db.dose, smiles, array_to_string(targets, ',') AS targets,
        t IS NOT NULL AS has_profile, informative
-FROM db JOIN flat USING (id) WHERE id = 'PERT_00042'"""),
+FROM db JOIN flat USING (id) WHERE id = (SELECT min(id) FROM lines)"""),
     "parse_signature": sql("SELECT * FROM parsed", ORDER_TOKENS, parsed()),
     "parse_signature_ordered": sql("SELECT * FROM parsed", ORDER_TOKENS, parsed(True)),
     "zhang_score": sql("SELECT * FROM scores", tokens(q.MANY), scores()),
@@ -379,7 +393,7 @@ SELECT sig_id, zhang, id, db.cell, db.trt_type, trt_id, db.trt_name, db.dose, sm
        array_to_string(targets, ',') AS targets,
        (CASE WHEN has_p THEN n05 ELSE 0 END)::int AS n_significant, informative
 FROM scores JOIN db USING (id) JOIN flat USING (id) JOIN significant USING (id)
-WHERE starts_with(id, 'PERT_0000') OR regexp_full_match(id, 'PERT_001.*')
+WHERE starts_with(id, 'PERT_1_') OR regexp_full_match(id, 'PERT_2_.*')
 ORDER BY zhang DESC, id LIMIT 10""",
         tokens(q.S1),
         scores(),
@@ -408,4 +422,10 @@ SELECT 'signature' AS sig_id, count(*) AS n, round(corr(one, two), 6) AS pearson
     ),
     "generate_signature": sql(generated(0.3)),
     "generate_signature_strict": sql(generated(0.05)),
+    "generated_then_scored": sql(
+        """
+SELECT sig_id, id, zhang FROM scores ORDER BY zhang DESC, id LIMIT 14""",
+        f"tokens AS ({generated(0.3)})",
+        scores(),
+    ),
 }

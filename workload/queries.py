@@ -19,7 +19,6 @@ MANY = {"s1": S1, "s2": S2, "s1_negated": S1_NEGATED, "unknown": UNKNOWN}
 
 FEATURES = "zhang jnjs id smiles"
 COMPOUNDS_ONLY = {"trt_type": ["trt_cp"]}
-SAMPLES = "PERT_00001 PERT_00005 PERT_00009 PERT_00013"
 
 GENE_DATA_TYPES = {"1-1": "L1000", "0-1": "BING", "0-0": "AIG", "1-0": "INVALID"}
 
@@ -31,7 +30,7 @@ DELIVERIES = (
     ("controls.parquet", ["ctl_vehicle"], {}, "cell"),
 )
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, ...], str] = {}
 
 
 def delivered(spark: SparkSession, sf_dir: str) -> str:
@@ -56,7 +55,7 @@ def delivered(spark: SparkSession, sf_dir: str) -> str:
             else:
                 part = part.withColumn("batch", F.lit(1))
             part.write.parquet(f"{folder}/{name}")
-        tables.raw_genes_of_vectors(spark, sf_dir).write.parquet(f"{folder}/annotations/genes.parquet")
+        tables.raw_genes(spark, sf_dir).write.parquet(f"{folder}/annotations/genes.parquet")
         _written[key] = folder
     return _written[key]
 
@@ -155,16 +154,19 @@ def replicate_db(spark, sf_dir):
 
 def initialize(spark, sf_dir):
     folder = delivered(spark, sf_dir)
-    engine = load(spark, folder, f"{folder}/annotations/genes.parquet", multiplicity=2)
+    engine = load(
+        spark, folder, f"{folder}/annotations/genes.parquet", multiplicity=2, gene_order="gene_id"
+    )
     return engine.statistics()
 
 
 def load_genes(spark, sf_dir):
-    return _gene_rows(gene_source.load_genes(tables.raw_genes_of_vectors(spark, sf_dir)))
+    raw = tables.raw_genes_of_parts(spark, sf_dir)
+    return _gene_rows(gene_source.load_genes(raw, order_by="p_partkey"))
 
 
 def map_gene_datatypes(spark, sf_dir):
-    genes = gene_source.load_genes(tables.raw_genes_of_vectors(spark, sf_dir))
+    genes = gene_source.load_genes(tables.raw_genes_of_parts(spark, sf_dir), order_by="p_partkey")
     return _gene_rows(gene_source.map_gene_datatypes(genes, GENE_DATA_TYPES))
 
 
@@ -206,12 +208,18 @@ def rank_vectors(spark, sf_dir):
 
 
 def _stored_ranks(spark, sf_dir):
-    """Both layouts on disk; returns the wide database and the gene-major ranks."""
-    folder = shared_folder(spark, "prepared")
-    genes = tables.genes(spark)
-    layouts.write_db(tables.unranked_db(spark, sf_dir), f"{folder}/wide", genes=genes)
+    """Both layouts on disk, written once per session and table folder; returns the wide
+    database and the gene-major ranks."""
+    key = (spark.sparkContext.applicationId, sf_dir, "prepared")
+    if key not in _written:
+        folder = shared_folder(spark, "prepared")
+        genes = tables.genes(spark, sf_dir)
+        layouts.write_db(tables.unranked_db(spark, sf_dir), f"{folder}/wide", genes=genes)
+        wide = perturbations.read_db(spark, f"{folder}/wide")
+        layouts.write_db(wide, f"{folder}/gene_major", layout="gene_major")
+        _written[key] = folder
+    folder = _written[key]
     wide = perturbations.read_db(spark, f"{folder}/wide")
-    layouts.write_db(wide, f"{folder}/gene_major", layout="gene_major")
     return wide, layouts.read_gene_major(spark, f"{folder}/gene_major")
 
 
@@ -239,7 +247,7 @@ def db_counts(spark, sf_dir):
 
 
 def statistics(spark, sf_dir):
-    return flat.statistics(tables.db(spark, sf_dir), tables.genes(spark))
+    return flat.statistics(tables.db(spark, sf_dir), tables.genes(spark, sf_dir))
 
 
 def filter_values(spark, sf_dir):
@@ -271,7 +279,7 @@ def apply_filters_lines(spark, sf_dir):
 
 def check_signature(spark, sf_dir):
     return signatures.check_signature(
-        tables.genes(spark), tables.order_signatures(spark, sf_dir)
+        tables.genes(spark, sf_dir), tables.order_signatures(spark, sf_dir)
     )
 
 
@@ -307,8 +315,13 @@ def compound_to_samples(spark, sf_dir):
     return lookup.compound_to_samples(tables.db(spark, sf_dir), "CMP_00007 blue.*", 0.02, limit=15)
 
 
+def first_ids(spark, sf_dir, n: int) -> list[str]:
+    """The first ids by order; a query names few rows, but their names follow the tables."""
+    return [r.id for r in tables.lines(spark, sf_dir).orderBy("id").limit(n).collect()]
+
+
 def perturbation_details(spark, sf_dir):
-    found = lookup.perturbation_details(tables.db(spark, sf_dir), "PERT_00042")
+    found = lookup.perturbation_details(tables.db(spark, sf_dir), first_ids(spark, sf_dir, 1)[0])
     return found.withColumns(
         {
             "meta": F.array_join(F.transform("meta", lambda e: F.concat(e.key, F.lit("="), e.value)), ","),
@@ -322,58 +335,58 @@ def perturbation_details(spark, sf_dir):
 
 def parse_signature(spark, sf_dir):
     return signatures.parse_signature(
-        tables.genes(spark), tables.order_signatures(spark, sf_dir)
+        tables.genes(spark, sf_dir), tables.order_signatures(spark, sf_dir)
     )
 
 
 def parse_signature_ordered(spark, sf_dir):
     return signatures.parse_signature(
-        tables.genes(spark), tables.order_signatures(spark, sf_dir), ordered=True
+        tables.genes(spark, sf_dir), tables.order_signatures(spark, sf_dir), ordered=True
     )
 
 
 def zhang_score(spark, sf_dir):
-    return scoring.zhang_score(tables.db(spark, sf_dir), tables.genes(spark), MANY)
+    return scoring.zhang_score(tables.db(spark, sf_dir), tables.genes(spark, sf_dir), MANY)
 
 
 def zhang_score_ordered(spark, sf_dir):
-    return scoring.zhang_score(tables.db(spark, sf_dir), tables.genes(spark), MANY, ordered=True)
+    return scoring.zhang_score(tables.db(spark, sf_dir), tables.genes(spark, sf_dir), MANY, ordered=True)
 
 
 def zhang_score_nations(spark, sf_dir):
     return scoring.zhang_score(
-        tables.db(spark, sf_dir), tables.genes(spark), tables.nation_signatures(spark, sf_dir)
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), tables.nation_signatures(spark, sf_dir)
     )
 
 
 def zhang_score_gene_major(spark, sf_dir):
     wide, ranks = _stored_ranks(spark, sf_dir)
-    return scoring.zhang_score(wide, tables.genes(spark), MANY, ranks=ranks)
+    return scoring.zhang_score(wide, tables.genes(spark, sf_dir), MANY, ranks=ranks)
 
 
 def top_table_head(spark, sf_dir):
     return scoring.top_table_head(
-        tables.db(spark, sf_dir), tables.genes(spark), S1, 14, FEATURES
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), S1, 14, FEATURES
     )
 
 
 def top_table_head_filtered(spark, sf_dir):
     return scoring.top_table_head(
-        tables.db(spark, sf_dir), tables.genes(spark), S1, 14, FEATURES, COMPOUNDS_ONLY
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), S1, 14, FEATURES, COMPOUNDS_ONLY
     )
 
 
 def top_table_head_gene_major(spark, sf_dir):
     wide, ranks = _stored_ranks(spark, sf_dir)
     return scoring.top_table_head(
-        wide, tables.genes(spark), S1, 14, FEATURES, COMPOUNDS_ONLY, ranks=ranks
+        wide, tables.genes(spark, sf_dir), S1, 14, FEATURES, COMPOUNDS_ONLY, ranks=ranks
     )
 
 
 def top_table_head_nations(spark, sf_dir):
     return scoring.top_table_head(
         tables.db(spark, sf_dir),
-        tables.genes(spark),
+        tables.genes(spark, sf_dir),
         tables.nation_signatures(spark, sf_dir),
         5,
         "id zhang cell",
@@ -382,18 +395,18 @@ def top_table_head_nations(spark, sf_dir):
 
 def top_table_tail(spark, sf_dir):
     return scoring.top_table_tail(
-        tables.db(spark, sf_dir), tables.genes(spark), S1, 14, FEATURES
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), S1, 14, FEATURES
     )
 
 
 def annotated_ids(spark, sf_dir):
     return scoring.annotated_ids(
-        tables.db(spark, sf_dir), tables.genes(spark), S1, "PERT_0000 PERT_001.*"
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), S1, "PERT_1_ PERT_2_.*"
     )
 
 
 def annotated_ids_without_signature(spark, sf_dir):
-    return scoring.annotated_ids(tables.db(spark, sf_dir), tables.genes(spark), limit=3)
+    return scoring.annotated_ids(tables.db(spark, sf_dir), tables.genes(spark, sf_dir), limit=3)
 
 
 def select_features(spark, sf_dir):
@@ -403,40 +416,50 @@ def select_features(spark, sf_dir):
 
 
 def binned_zhang(spark, sf_dir):
-    return histograms.binned_zhang(tables.db(spark, sf_dir), tables.genes(spark), S1)
+    return histograms.binned_zhang(tables.db(spark, sf_dir), tables.genes(spark, sf_dir), S1)
 
 
 def binned_zhang_7x13(spark, sf_dir):
     return histograms.binned_zhang(
-        tables.db(spark, sf_dir), tables.genes(spark), MANY, 7, 13, COMPOUNDS_ONLY
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), MANY, 7, 13, COMPOUNDS_ONLY
     )
 
 
 def correlation(spark, sf_dir):
-    return histograms.correlation(tables.db(spark, sf_dir), tables.genes(spark), S1, S2)
+    return histograms.correlation(tables.db(spark, sf_dir), tables.genes(spark, sf_dir), S1, S2)
 
 
 def correlation_gene_major(spark, sf_dir):
     wide, ranks = _stored_ranks(spark, sf_dir)
     return histograms.correlation(
-        wide, tables.genes(spark), S1, S2, 10, COMPOUNDS_ONLY, ranks=ranks
+        wide, tables.genes(spark, sf_dir), S1, S2, 10, COMPOUNDS_ONLY, ranks=ranks
     )
 
 
 def correlation_coefficient(spark, sf_dir):
     return histograms.correlation_coefficient(
-        tables.db(spark, sf_dir), tables.genes(spark), S1, S2
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), S1, S2
     )
 
 
 def generate_signature(spark, sf_dir):
     return generate.generate_signature(
-        tables.db(spark, sf_dir), tables.genes(spark), SAMPLES, 0.3
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), first_ids(spark, sf_dir, 4), 0.3
     )
 
 
 def generate_signature_strict(spark, sf_dir):
-    return generate.generate_signature(tables.db(spark, sf_dir), tables.genes(spark), SAMPLES)
+    return generate.generate_signature(
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), first_ids(spark, sf_dir, 4)
+    )
+
+
+def generated_then_scored(spark, sf_dir):
+    """The perturbations that are most like a few samples."""
+    made = generate_signature(spark, sf_dir)
+    return scoring.top_table_head(
+        tables.db(spark, sf_dir), tables.genes(spark, sf_dir), made, 14, "id zhang"
+    )
 
 
 QUERIES = {
@@ -496,5 +519,6 @@ QUERIES = {
         correlation_coefficient,
         generate_signature,
         generate_signature_strict,
+        generated_then_scored,
     )
 }

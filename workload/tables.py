@@ -1,8 +1,8 @@
 """The perturbation database seen in the given tables: the inputs of all queries.
 
-`embeddings` are the t-statistics of perturbations over as many genes as a vector has
-entries, `part` the treatments, `nation` the cells, and large `lineitem` sales of a part
-name its targets.
+Every line item is a perturbation: its part is the treatment, the nation of its supplier the
+cell, and one of the `embeddings` (chosen by a number of the line, modulo how many there are) its
+t-statistics over as many genes as a vector has entries. The suppliers of a part name its targets.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 from sigloom.operators.prepare import rank_vectors
 from sigloom.sources.genes import load_genes
 
-# Vector length and number of compounds, cells in use.
-N_GENES = 64
-N_COMPOUNDS = 200
-N_CELLS = 25
-
 TREATMENT_TYPES = {
     "ECONOMY": "trt_cp",
     "STANDARD": "trt_cp",
@@ -45,18 +40,32 @@ def _described(positions: DataFrame) -> DataFrame:
     )
 
 
-def raw_genes(spark: SparkSession) -> DataFrame:
-    return _described(spark.range(1, N_GENES + 1).withColumnRenamed("id", "i"))
+def vector_length(spark: SparkSession, sf_dir: str) -> Column:
+    """Length of the longest vector, as a value usable in another frame's expressions."""
+    return table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).scalar()
 
 
-def raw_genes_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same annotations, one for each position found in the vectors."""
+def raw_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations, one row for each position found in the vectors."""
     longest = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("n"))
     return _described(longest.select(F.explode(F.sequence(F.lit(1), "n")).alias("i")))
 
 
-def genes(spark: SparkSession) -> DataFrame:
-    return load_genes(raw_genes(spark))
+def raw_genes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with one row for each part, which is of the size of a real gene table."""
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.format_string("P%06d", "p_partkey").alias("gene_id"),
+        F.col("p_name").alias("gene_symbol"),
+        (F.col("p_size") % 4 != 0).alias("landmark"),
+        (F.col("p_size") % 5 != 0).alias("best_inferred"),
+        F.col("p_brand").alias("gene_description"),
+        F.col("p_type").alias("geneFamily"),
+    )
+
+
+def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_genes(raw_genes(spark, sf_dir), order_by="gene_id")
 
 
 def treatment_type(p_type: Column) -> Column:
@@ -66,55 +75,60 @@ def treatment_type(p_type: Column) -> Column:
 
 def part_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_partkey, targets): distinct target genes of each part, sorted."""
-    sales = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48")
-    target = F.format_string("GENE%02d", F.col("l_suppkey") % N_GENES + 1)
-    return sales.groupBy("l_partkey").agg(F.sort_array(F.collect_set(target)).alias("targets"))
-
-
-def perturbation_id(vec_id: Column) -> Column:
-    return F.format_string("PERT_%05d", vec_id)
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", vector_length(spark, sf_dir).alias("n")
+    )
+    target = F.format_string("GENE%02d", F.col("l_suppkey") % F.col("n") + 1)
+    return lines.groupBy("l_partkey").agg(F.sort_array(F.collect_set(target)).alias("targets"))
 
 
 def compound_id(part_key: Column) -> Column:
     return F.format_string("CMP_%05d", part_key)
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct line items with an id and a number; a few lines of the smallest tables repeat."""
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    number = F.expr("l_orderkey * 31 + l_linenumber * 7 + l_partkey * 3 + l_suppkey")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .select(*keys)
+        .distinct()
+        .select(*keys, F.concat(F.lit("PERT_"), F.concat_ws("_", *keys)).alias("id"), number.alias("number"))
+    )
+
+
 def unranked_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The database as delivered: profiles with t and p, without ranks."""
-    vec_id = F.col("vec_id")
+    number = F.col("number")
+    embeddings = table(spark, sf_dir, "embeddings")
     t = F.transform("embedding", lambda x: x.cast("double"))
     p = F.transform(t, lambda x: F.lit(1.0) / (F.lit(1.0) + F.lit(300.0) * x * x))
     no_ranks = F.lit(None).cast("array<double>")
     profile = F.struct(
-        t.alias("t"), F.when(vec_id % 40 != 39, p).alias("p"), no_ranks.alias("r")
+        t.alias("t"), F.when(number % 40 != 39, p).alias("p"), no_ranks.alias("r")
     )
     meta = F.array(
         *[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in META.items()]
     )
-    # Join keys lie below N_COMPOUNDS and N_CELLS, so these sides have at most as many rows.
-    # The joins would drop the other rows as well, but only after a shuffle of the vectors
-    # over so few keys.
-    parts = (
-        table(spark, sf_dir, "part")
-        .filter(F.col("p_partkey") < N_COMPOUNDS)
+    described = (
+        lines(spark, sf_dir)
+        .withColumn("vectors", embeddings.agg(F.max("vec_id") + 1).scalar())
+        .withColumn("vec_id", number % F.col("vectors"))
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(
-            part_targets(spark, sf_dir).filter(F.col("l_partkey") < N_COMPOUNDS),
-            F.col("l_partkey") == F.col("p_partkey"),
+            part_targets(spark, sf_dir).withColumnRenamed("l_partkey", "key"),
+            F.col("key") == F.col("p_partkey"),
             "left",
         )
-    )
-    cells = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < N_CELLS)
-    described = (
-        table(spark, sf_dir, "embeddings")
-        .withColumn("p_partkey", vec_id % N_COMPOUNDS)
-        .withColumn("n_nationkey", (vec_id % N_CELLS).cast("int"))
-        .join(F.broadcast(parts), "p_partkey")
-        .join(F.broadcast(cells), "n_nationkey")
+        .join(embeddings, "vec_id")
     )
     return described.select(
-        perturbation_id(vec_id).alias("id"),
+        "id",
         meta.alias("meta"),
-        F.when(vec_id % 33 != 32, F.col("n_name")).alias("cell"),
+        F.when(number % 33 != 32, F.col("n_name")).alias("cell"),
         treatment_type(F.col("p_type")).alias("trt_type"),
         F.struct(
             compound_id(F.col("p_partkey")).alias("id"),
@@ -123,20 +137,20 @@ def unranked_db(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("p_brand").alias("smiles"),
             F.coalesce("targets", F.array().cast("array<string>")).alias("targets"),
         ).alias("trt"),
-        F.when(vec_id % 50 != 49, profile).alias("profile"),
+        F.when(number % 50 != 49, profile).alias("profile"),
     )
 
 
 def db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prepared database."""
-    return rank_vectors(unranked_db(spark, sf_dir), genes(spark))
+    return rank_vectors(unranked_db(spark, sf_dir), genes(spark, sf_dir))
 
 
 def flat_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat view with one row per line item, for filters and values at scale."""
-    lines = table(spark, sf_dir, "lineitem")
     return (
-        lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
@@ -152,14 +166,15 @@ def flat_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signature per order: its lines name genes by symbol, by id, or wrongly."""
-    number = F.col("l_suppkey") % N_GENES + 1
+    number = F.col("l_suppkey") % F.col("n") + 1
     name = (
         F.when(F.col("l_partkey") % 17 == 0, "NotKnown")
         .when(F.col("l_linenumber") % 2 == 0, F.format_string("P%03d", number))
         .otherwise(F.format_string("GENE%02d", number))
     )
     sign = F.when(F.col("l_returnflag") == "R", "-").otherwise("")
-    return table(spark, sf_dir, "lineitem").select(
+    numbered = table(spark, sf_dir, "lineitem").withColumn("n", vector_length(spark, sf_dir))
+    return numbered.select(
         F.col("l_orderkey").cast("string").alias("sig_id"),
         F.col("l_linenumber").alias("pos"),
         F.concat(sign, name).alias("token"),
@@ -168,10 +183,11 @@ def order_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nation_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signature per nation: its suppliers in order of key, down if in debt."""
-    number = F.col("s_suppkey") % N_GENES + 1
+    number = F.col("s_suppkey") % F.col("n") + 1
     sign = F.when(F.col("s_acctbal") < 0, "-").otherwise("")
     token = F.concat(sign, F.format_string("GENE%02d", number))
-    return table(spark, sf_dir, "supplier").select(
+    numbered = table(spark, sf_dir, "supplier").withColumn("n", vector_length(spark, sf_dir))
+    return numbered.select(
         F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("sig_id"),
         F.col("s_suppkey").cast("int").alias("pos"),
         token.alias("token"),
