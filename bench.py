@@ -14,7 +14,7 @@ from sigloom.sources.genes import load_genes
 from sigloom.sources.layouts import read_gene_major, write_db
 from sigloom.sources.perturbations import read_db, replicate_db
 from workload import tables
-from workload.queries import FEATURES, LINE_FILTERS, MANY, S1, S2, SAMPLES
+from workload.queries import FEATURES, LINE_FILTERS, MANY, S1, S2, first_ids
 from workload.session import session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -37,8 +37,10 @@ def main():
     times = {}
 
     raw = f"{folder}/genes"
-    tables.raw_genes(spark).coalesce(1).write.parquet(raw)
-    genes = load_genes(spark.read.parquet(raw))
+    tables.raw_genes(spark, SF_DIR).coalesce(1).write.parquet(raw)
+    genes = load_genes(spark.read.parquet(raw), "gene_id")
+    samples = first_ids(spark, SF_DIR, 4)
+    hundred = " ".join(f"{'-' * (k % 3 == 0)}GENE{k % 64 + 1:02d}" for k in range(100))
     unranked = tables.unranked_db(spark, SF_DIR)
     times["prepare_wide"] = seconds(
         lambda: write_db(unranked, f"{folder}/db", genes=genes, partitions=int(CPUS))
@@ -62,29 +64,29 @@ def main():
 
     queries = {
         **scores_at(1),
-        **scores_at(10),
-        **scores_at(50),
-        "zhang_score_many_x50": lambda: scoring.zhang_score(replicate_db(db, 50), genes, MANY),
-        "zhang_score_nations_x10": lambda: scoring.zhang_score(
-            replicate_db(db, 10), genes, nations
+        **scores_at(4),
+        "zhang_score_many": lambda: scoring.zhang_score(db, genes, MANY),
+        "zhang_score_nations": lambda: scoring.zhang_score(db, genes, nations),
+        "zhang_score_100_genes_gene_major": lambda: scoring.zhang_score(
+            db, genes, hundred, ranks=ranks
         ),
         "top_table_head_gene_major": lambda: scoring.top_table_head(
             db, genes, S1, 14, FEATURES, ranks=ranks
         ),
         "binned_zhang_gene_major": lambda: histograms.binned_zhang(db, genes, S1, ranks=ranks),
-        "generate_signature": lambda: generate.generate_signature(db, genes, SAMPLES, 0.3),
+        "generate_signature": lambda: generate.generate_signature(db, genes, samples, 0.3),
         "check_signature_orders": lambda: signatures.check_signature(genes, orders),
         "parse_signature_orders": lambda: signatures.parse_signature(genes, orders),
         "filter_values_lines": lambda: flat.filter_values(lines),
         "apply_filters_lines": lambda: flat.apply_filters(lines, LINE_FILTERS),
-        "flat_db_x50": lambda: flat.flat_db(replicate_db(db, 50)),
-        "statistics_x50": lambda: flat.statistics(replicate_db(db, 50), genes),
-        "compounds_x50": lambda: lookup.compounds(replicate_db(db, 50), "CMP_0001"),
-        "targets_x50": lambda: lookup.targets(replicate_db(db, 50), "GENE0"),
-        "treatment_to_perturbations_x50": lambda: lookup.treatment_to_perturbations(
-            replicate_db(db, 50), "CMP_00007 blue.*"
+        "flat_db": lambda: flat.flat_db(db),
+        "statistics": lambda: flat.statistics(db, genes),
+        "compounds": lambda: lookup.compounds(db, "CMP_0001"),
+        "targets": lambda: lookup.targets(db, "GENE0"),
+        "treatment_to_perturbations": lambda: lookup.treatment_to_perturbations(
+            db, "CMP_00007 blue.*"
         ),
-        "perturbation_details": lambda: lookup.perturbation_details(db, "PERT_00042"),
+        "perturbation_details": lambda: lookup.perturbation_details(db, samples[0]),
     }
     for name, query in queries.items():
         run(query())

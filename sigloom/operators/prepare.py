@@ -89,10 +89,22 @@ def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _unique(frame: DataFrame, key: str, what: str) -> DataFrame:
+    """`frame`, grouped by a key that the next join needs; the job fails if one repeats."""
+    rest = [c for c in frame.columns if c != key]
+    grouped = frame.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_rows"), F.first(F.struct(F.lit(1).alias("_one"), *rest)).alias("_row")
+    )
+    repeated = F.raise_error(F.concat(F.lit(f"{what} repeat {key} "), F.col(key).cast("string")))
+    checked = F.when(F.col("_rows") > 1, repeated).otherwise(F.col(key)).alias(key)
+    return grouped.select(checked, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def _vectors(matrix: DataFrame, name: str) -> DataFrame:
     """(id, vector) from a sample-major matrix, given as arrays or one value per row."""
     if "values" in matrix.columns:
-        return matrix.select("id", F.col("values").cast("array<double>").alias(name))
+        vectors = matrix.select("id", F.col("values").cast("array<double>").alias(name))
+        return _unique(vectors, "id", f"{name}_stats")
     entry = F.struct("idx", F.col("value").cast("double").alias("value"))
     gathered = matrix.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     in_order = F.forall(
@@ -122,7 +134,9 @@ def build_db(
     smiles, targets. `annotations`: one row per trt_id, with any of the last three.
 
     The annotations are joined while rows are narrow, so a compound with very many
-    samples costs little to split; vectors are then joined on the sample id.
+    samples costs little to split; vectors are then joined on the sample id. The job fails
+    if an id or an annotated trt_id repeats, or if a sample of a matrix has no relation:
+    filter the matrices to leave samples out.
     """
     args = Arguments()
     for what, frame, columns in (
@@ -137,21 +151,29 @@ def build_db(
         args.require("trt_id" in annotations.columns, "annotations lack the column trt_id")
     args.done()
 
-    samples = relations
+    samples = _unique(relations, "id", "relations")
     described = ("trt_name", "smiles", "targets")
     if annotations is not None:
         extra = [c for c in described if c in annotations.columns]
-        samples = relations.drop(*extra).join(annotations.select("trt_id", *extra), "trt_id", "left")
+        described_by = _unique(annotations.select("trt_id", *extra), "trt_id", "annotations")
+        samples = samples.drop(*extra).join(described_by, "trt_id", "left")
 
     def optional(name, alias=None):
         column = F.col(name) if name in samples.columns else F.lit(None)
         return column.alias(alias or name)
 
-    joined = samples.join(_vectors(t_stats, "t"), "id", "left").join(
-        _vectors(p_stats, "p"), "id", "left"
+    joined = (
+        samples.withColumn("_related", F.lit(True))
+        .join(_vectors(t_stats, "t"), "id", "full")
+        .join(_vectors(p_stats, "p"), "id", "full")
     )
-    sample_id = F.when(F.col("id") != "", F.col("id")).otherwise(
-        F.raise_error(F.lit("a sample has no id"))
+    sample_id = (
+        F.when(F.coalesce("id", F.lit("")) == "", F.raise_error(F.lit("a sample has no id")))
+        .when(
+            F.col("_related").isNull(),
+            F.raise_error(F.concat(F.lit("no relation for the sample "), "id")),
+        )
+        .otherwise(F.col("id"))
     )
     db = conform(
         joined.select(

@@ -16,6 +16,7 @@ from sigloom.functions.vectors import aligned_sql, count_at_most, is_informative
 from sigloom.operators.flat import apply_filters
 from sigloom.operators.prepare import with_gene_count
 from sigloom.operators.signatures import (
+    INLINE_TOKENS,
     as_lists,
     block_count,
     signature_blocks,
@@ -122,39 +123,72 @@ def score_genes(ranks: DataFrame, resolved: DataFrame) -> DataFrame:
     """The same scores from gene-major ranks, as (sig_id, id, scores), for unique ids.
 
     Reads only the genes needed. The ranks of one perturbation lie in one file, so most
-    of a sum is formed before the shuffle.
+    of a sum is formed before the shuffle. The job fails if an id repeats.
     """
     names = [name for name in resolved.columns if name != "sig_id"]
 
     def terms_of(name):
         others = ", ".join(f"{'w.weight' if n == name else '0D'} AS {n}" for n in names)
-        return f"transform({name}.weights, w -> struct(w.idx AS idx, {others}))"
+        return f"transform({name}.weights, w -> struct(w.idx AS idx, {others}, 0 AS _n))"
 
-    # A zero weight on the first gene, where every perturbation has a row, gives a score
-    # of 0 to signatures without genes.
-    nothing = f"array(struct(1 AS idx, {', '.join(f'0D AS {n}' for n in names)}))"
+    # A zero weight on the first gene, where every perturbation has one row, gives a score
+    # of 0 to signatures without genes, and counts the perturbations of an id.
+    nothing = f"array(struct(1 AS idx, {', '.join(f'0D AS {n}' for n in names)}, 1 AS _n))"
     terms = resolved.select(
         "sig_id",
         *[F.col(f"{name}.c_max").alias(f"c_{name}") for name in names],
         F.inline(F.expr(f"concat({nothing}, {', '.join(map(terms_of, names))})")),
     )
-    # A block of signatures has a bounded number of weights (block_count). They are
-    # resolved once: the genes in use let the scan skip all others, the rest is broadcast.
+    # A block of signatures has about a bounded number of weights (block_count). They are
+    # resolved once: the genes in use let the scan skip all others, the rest is broadcast,
+    # unless a block has come out larger than it should.
     rows = terms.toArrow()
     used = rows["idx"].unique().to_pylist()
+    weights = ranks.sparkSession.createDataFrame(rows)
+    if rows.num_rows <= 2 * INLINE_TOKENS:
+        weights = F.broadcast(weights)
     sums = [
         (F.sum(F.col("r") * F.col(n)) / F.first(f"c_{n}") + F.lit(0.0)).alias(n) for n in names
     ]
-    return (
-        ranks.filter(F.col("idx").isin(used))
-        .join(F.broadcast(ranks.sparkSession.createDataFrame(rows)), "idx")
+    summed = (
+        ranks.filter(is_one_of("idx", used))
+        .join(weights, "idx")
         .groupBy("sig_id", "id")
-        .agg(*sums)
+        .agg(*sums, F.sum("_n").alias("_ones"))
+    )
+    repeated = F.raise_error(F.concat(F.lit("gene-major ranks have an id twice: "), "id"))
+    return summed.select(
+        "sig_id", F.when(F.col("_ones") > 1, repeated).otherwise(F.col("id")).alias("id"), *names
     )
 
 
 def rank_column() -> Column:
-    return F.col("profile.r").alias("_ranks")
+    """The rank vectors; the job fails at a profile without one, which would go unscored.
+
+    Whether there is a profile shows in the same column, so that nothing else is read.
+    """
+    unranked = F.raise_error(F.lit("a profile has no ranks: rank the database first"))
+    return F.when(
+        F.col("profile").isNotNull() & F.col("profile.r").isNull(), unranked
+    ).otherwise(F.col("profile.r")).alias("_ranks")
+
+
+# Fixed value: Spark pushes an IN of up to this many values to Parquet as single values; of a
+# longer one only the smallest and largest reach the scan.
+PUSHED_VALUES = 10
+
+
+def is_one_of(column: str, values: list) -> Column:
+    """column IN values, in parts that all reach the scan, joined as a flat tree of ORs."""
+    values = sorted(values)
+    parts = [
+        F.col(column).isin(values[at : at + PUSHED_VALUES])
+        for at in range(0, len(values), PUSHED_VALUES)
+    ] or [F.lit(False)]
+    while len(parts) > 1:
+        pairs = zip(parts[::2], parts[1::2])
+        parts = [a | b for a, b in pairs] + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0]
 
 
 def with_scores(frame: DataFrame, genes: DataFrame, signatures, ordered: bool = False) -> DataFrame:
@@ -259,7 +293,14 @@ def top_table(
     else:
         scores = zhang_score(db, genes, signature, ordered, filters, ranks)
         chosen = best_rows(scores, signature, n, highest)
-        scored = _feature_inputs(db, wanted).join(chosen, "id")
+        lists = as_lists(signature, Arguments())
+        rows = db
+        if lists is not None and len(lists) == 1:
+            # At most n rows: their ids let the scan of db, which is ordered by id, skip the rest.
+            found = chosen.toArrow()
+            chosen = db.sparkSession.createDataFrame(found)
+            rows = db.filter(is_one_of("id", found["id"].to_pylist()))
+        scored = _feature_inputs(rows, wanted).join(chosen, "id")
     return _feature_columns(best_rows(scored, signature, n, highest), wanted)
 
 

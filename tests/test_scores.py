@@ -242,10 +242,12 @@ def test_correlation_arguments(db, genes):
 
 
 def test_generate_signature(db, genes):
-    assert rows(generate_signature(db, genes, "A", 0.05)) == [(1, "EGFR"), (2, "-TP53"), (3, "PSME1")]
+    assert rows(generate_signature(db, genes, "A", 0.05)) == [
+        ("signature", 1, "EGFR"), ("signature", 2, "-TP53"), ("signature", 3, "PSME1"),
+    ]
     # Medians over A, D and F; D has no p-values but a say in t.
     found = generate_signature(db, genes, ["A", "D", "F", "C"], 0.26)
-    assert rows(found) == [(1, "BRCA1"), (2, "PSME1"), (3, "TP53"), (4, "EGFR")]
+    assert [r.token for r in found.collect()] == ["BRCA1", "PSME1", "TP53", "EGFR"]
     assert rows(generate_signature(db, genes, "E", 0.05)) == []
     with pytest.raises(ArgumentError):
         generate_signature(db, genes)
@@ -253,5 +255,4 @@ def test_generate_signature(db, genes):
 
 def test_generated_signature_can_be_scored(db, genes):
     made = generate_signature(db, genes, "A", 0.05)
-    table = made.select(F.lit("made").alias("sig_id"), "pos", F.col("gene").alias("token"))
-    assert scores(scoring.zhang_score(db, genes, table))["made", "A"] == 1.0
+    assert scores(scoring.zhang_score(db, genes, made))["signature", "A"] == 1.0

@@ -229,11 +229,13 @@ def test_load(spark, folder):
 
 
 def test_load_accepts_one_path(spark, folder):
-    engine = load(spark, f"{folder}/one.parquet", f"{folder}/genes/genes.parquet")
+    engine = load(
+        spark, f"{folder}/one.parquet", f"{folder}/genes/genes.parquet", gene_order="gene_id"
+    )
     assert engine.counts().collect() == [("db", 6), ("flatdb", 6)]
 
 
 def test_load_reports_all_problems(spark):
     with pytest.raises(ArgumentError) as error:
         load(spark, multiplicity=0, storage_level="MEMORY_ONLY_1")
-    assert len(error.value.problems) == 4
+    assert len(error.value.problems) == 5
