@@ -1,13 +1,22 @@
 """Preparing a perturbation database from matrices of statistics."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigloom.functions.arguments import Arguments
 from sigloom.functions.vectors import aligned_sql
 from sigloom.sources.perturbations import conform, with_meta
 
 
+# Entries of vectors that are ranked at a time.
+CELLS = 1_000_000
+
+
 def gene_count(genes: DataFrame) -> Column:
     """Number of genes as a value usable in another frame's expressions."""
     return genes.agg(F.count(F.lit(1))).scalar()
@@ -21,22 +30,42 @@ def with_gene_count(frame: DataFrame, genes: DataFrame, name: str = "_n_genes")
     return frame.withColumn(name, gene_count(genes))
 
 
-# An entry of t as it is ranked: null and NaN count as 0.
-ENTRY = "coalesce(nanvl(x, 0D), 0D)"
-
-# Average rank of every entry of the ordered sizes: where the runs of equal sizes start,
-# and the mean place of each run as often as the run is long. One-element arrays name a
-# value for use in a lambda, which would otherwise compute it for every entry.
-TIED_RANKS = """
-    transform(array(_ordered._size), sizes ->
-      transform(array(filter(_places, k -> k = 0 OR sizes[k] <> sizes[k - 1])), starts ->
-        flatten(transform(starts, (first, i) -> array_repeat(
-          (first + 1 + coalesce(get(starts, i + 1), size(sizes))) / 2D,
-          coalesce(get(starts, i + 1), size(sizes)) - first
-        )))
-      )[0]
-    )[0]
-"""
+def signed_ranks(t: np.ndarray) -> np.ndarray:
+    """Ranks of |t| along each row, ties their average, with the signs of t; 0 stays 0."""
+    t = np.nan_to_num(t, nan=0.0)
+    size = np.abs(t)
+    order = np.argsort(size, axis=1)
+    ordered = np.take_along_axis(size, order, axis=1)
+    place = np.broadcast_to(np.arange(t.shape[1]), t.shape)
+    new = np.ones(t.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    ends = np.ones(t.shape, bool)
+    ends[:, :-1] = new[:, 1:]
+    last = np.where(ends, place, t.shape[1])[:, ::-1]
+    last = np.minimum.accumulate(last, axis=1)[:, ::-1]
+    ranks = np.empty(t.shape)
+    np.put_along_axis(ranks, order, (first + last) / 2 + 1, axis=1)
+    return np.sign(t) * ranks + 0.0  # adding 0 turns -0.0 into plain 0.0
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _ranks(vectors: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in vectors:
+        offsets = batch.offsets.to_numpy()
+        first, last = (offsets[0], offsets[-1]) if len(offsets) else (0, 0)
+        t = batch.values[first:last].fill_null(0.0).to_numpy(zero_copy_only=False)
+        starts, lengths = offsets[:-1] - first, np.diff(offsets)
+        ranks = np.zeros(len(t))
+        for n in np.unique(lengths[lengths > 0]):
+            rows = starts[lengths == n]
+            # Some vectors at a time, so that memory does not follow the size of a batch.
+            for at in range(0, len(rows), max(1, CELLS // n)):
+                cells = rows[at : at + max(1, CELLS // n), None] + np.arange(n)
+                ranks[cells] = signed_ranks(t[cells])
+        yield pa.ListArray.from_arrays(
+            pa.array((offsets - first).astype(np.int32)), pa.array(ranks), mask=batch.is_null()
+        )
 
 
 def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
@@ -45,44 +74,15 @@ def rank_vectors(db: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     The smallest |t| has rank 1, the largest N, ties their average; a zero, null or NaN
     gets 0. With `genes`, a vector of another length than the gene table fails the job.
 
-    Every vector is ranked inside its row: map-only, whatever the number of rows. The
-    steps are columns of their own, since sorting is compiled only outside of lambdas.
+    Every vector is ranked inside its row, in Arrow batches: map-only, whatever the number
+    of rows.
     """
     t = "profile.t"
     counted = db
     if genes is not None:
         counted = with_gene_count(db, genes)
         t = aligned_sql(t, "_n_genes")
-    ranked = (
-        counted.withColumn("_t", F.expr(t))
-        .withColumns(
-            {
-                "_size": F.expr(f"transform(_t, x -> abs({ENTRY}))"),
-                "_places": F.expr("if(_t IS NULL, NULL, slice(sequence(0, size(_t)), 1, size(_t)))"),
-            }
-        )
-        .withColumn("_ordered", F.expr("sort_array(arrays_zip(_size, _places))"))
-        .withColumn(
-            "_rank",
-            F.expr(
-                f"""
-                CASE WHEN _t IS NULL THEN NULL
-                  WHEN size(array_distinct(_size)) = size(_size)
-                  THEN cast(slice(sequence(1, size(_t) + 1), 1, size(_t)) AS array<double>)
-                  ELSE {TIED_RANKS} END
-                """
-            ),
-        )
-        .withColumn("_back", F.expr("sort_array(arrays_zip(_ordered._places, _rank))"))
-        # Adding 0 turns -0.0 into plain 0.0. Naming `_back` twice keeps it a column.
-        .withColumn(
-            "_r",
-            F.expr(
-                "if(_back IS NULL, NULL,"
-                f" zip_with(_t, _back._rank, (x, rank) -> signum({ENTRY}) * rank + 0D))"
-            ),
-        )
-    )
+    ranked = counted.withColumn("_r", _ranks(F.expr(t)))
     profile = F.struct("profile.t", "profile.p", F.col("_r").alias("r"))
     return ranked.withColumn("profile", F.when(F.col("profile").isNotNull(), profile)).select(
         *db.columns
