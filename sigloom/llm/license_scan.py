@@ -76,14 +76,11 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(label, line, held): notices alone and with lines of the corpus around them, and lines."""
     spark = docs.sparkSession
     cue = r"(?i)licen[cs]|copyright|rights reserved|redistribut|\bgnu\b|creative commons|public domain|\bcc by"
-    plain = (
-        lines(docs)
-        .where(~F.col("line").rlike(cue) & (F.length("line") <= 2_000))
-        .groupBy("line")
-        .agg(F.xxhash64("line").alias("h"))
-        .orderBy("h", "line")
-        .limit(sample)
-    )
+    fit_lines = lines(docs).where(~F.col("line").rlike(cue) & (F.length("line") <= 2_000))
+    hashed = fit_lines.withColumn("h", F.xxhash64("line"))
+    # The least hashes are found first, so that no more lines than needed are shuffled.
+    top = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).collect()[0][0]
+    plain = hashed.where(F.col("h") <= top if top is not None else F.lit(False)).distinct()
     plain = stored(spark, plain, "lines")
     label = {c: i for i, c in enumerate(CLASSES)}
     notices = [{"label": label[c], "notice": t} for c, some in TEMPLATES.items() for t in some]
