@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 
-SLOTS = 13  # bits
+SLOTS = 11  # bits
 NONE = 0xFFFF
 NODES = 1 + 16
 FULL = 1 << 15  # of a distribution

@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from sigloom.llm.common import work_folder
 from sigloom.llm.id_coder import decode_lanes, encode_lanes
 
-STRIPE = 3_000_000
-LANES = 512
+STRIPE = 6_000_000
+LANES = 2_048
 LEAST_STEPS = 512
 REMEMBERED = 300_000  # pieces of text
 LONGEST = 64  # characters of a piece that is remembered

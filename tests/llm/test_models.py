@@ -81,7 +81,7 @@ def test_id_coder_round_trips():
     assert sum(map(len, id_coder.encode_lanes(np.zeros((1, 4000), int)))) < 200
 
 
-@pytest.mark.parametrize("stripe", [3_000_000, 50])
+@pytest.mark.parametrize("stripe", [6_000_000, 50])
 def test_token_files_equal_library(spark, monkeypatch, stripe):
     monkeypatch.setattr(token_output, "STRIPE", stripe)
     library = tokenizers.Tokenizer.from_file(BYTES)
