@@ -25,7 +25,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ from sigloom.llm.suffix_array import common_prefixes, suffix_array
 LENGTH = 400
 KEY = 160
 GRAM = 32
-HOT = 1_000  # different segments of one key in a shard
+HOT = 4_000  # different segments of one key in a shard: 2 MB of text at most
 SHARD_BYTES = 600_000
 BROADCAST_BYTES = 64_000_000
 
@@ -185,16 +185,11 @@ def shard_runs(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(rows, schema)
 
 
-def _if_small(frame: DataFrame, row_bytes: int) -> DataFrame:
-    """frame, to be broadcast if its counted rows stay below the bound."""
-    return F.broadcast(frame) if frame.count() * row_bytes <= BROADCAST_BYTES else frame
-
-
-def _own_text(texts: DataFrame, frame: DataFrame, how: str) -> DataFrame:
-    same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (
-        F.col("t.text_hash") == F.col("f.text_hash")
-    )
-    return texts.alias("t").join(frame.alias("f"), same, how)
+def _named(texts: DataFrame, hashes: DataFrame, how: str) -> DataFrame:
+    """The texts whose hash is among the distinct ones, or (left_anti) the others: before texts
+    are shuffled, by a broadcast of hashes as far as its counted size is bounded."""
+    small = hashes.count() * 16 <= BROADCAST_BYTES
+    return texts.join(F.broadcast(hashes) if small else hashes, "text_hash", how)
 
 
 def removed_spans(texts: DataFrame) -> DataFrame:
@@ -212,7 +207,7 @@ def removed_spans(texts: DataFrame) -> DataFrame:
         .select("key", (F.col("a") != F.col("b")).alias("differ")),
         "keys",
     )
-    again = stored(spark, rows.join(_if_small(keys, 24), "key"), "again")
+    again = stored(spark, rows.join(keys.hint("merge"), "key"), "again")
 
     whole = again.where("NOT differ").select(
         "text_hash", F.array(F.struct(F.lit(0).alias("at"), F.col("windows").alias("n"))).alias("spans"), "first"
@@ -245,8 +240,12 @@ def removed_spans(texts: DataFrame) -> DataFrame:
         .agg(F.collect_list("s").alias("wanted"))
     )
     wanted = stored(spark, wanted, "wanted")
+    own = _named(texts, wanted.select("text_hash").distinct(), "left_semi").alias("t")
+    same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (
+        F.col("t.text_hash") == F.col("f.text_hash")
+    )
     pieces = (
-        _own_text(texts, _if_small(wanted, 2_000), "inner")
+        own.join(wanted.hint("merge").alias("f"), same)
         .select("t.bytes", F.explode("f.wanted").alias("s"))
         .select(
             "s.key",
@@ -341,25 +340,39 @@ def _cut_text(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated strings cut out of ``text``."""
-    spans = stored(docs.sparkSession, removed_spans(_texts(docs)), "spans").alias("s")
-    name = free_name(docs.columns, "shorter")
-    own: Column = F.xxhash64(F.coalesce("d.text", F.lit("")))
-    joined = docs.alias("d").join(
-        _if_small(spans, 200), own == F.col("s.text_hash"), "left"
-    )
-    short = F.when(F.col("s.spans").isNull(), F.col("d.text")).otherwise(
-        _cut_text(F.col("d.text"), F.col("s.spans"))
+    spans = stored(docs.sparkSession, removed_spans(_texts(docs)), "spans")
+    hashes = spans.select("text_hash")
+    name = free_name([*docs.columns, "text_hash", "spans"], "whole")
+    hashed = docs.select(
+        F.struct(*docs.columns).alias(name), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     )
-    return joined.select("d.*", short.alias(name)).select(
-        *[F.col(name).alias("text") if c == "text" else c for c in docs.columns]
+    cut_ = _named(hashed, hashes, "left_semi").join(spans.hint("merge"), "text_hash")
+    text = _cut_text(F.col(f"{name}.text"), F.col("spans"))
+    return (
+        cut_.withColumn("text", F.when(F.col(f"{name}.text").isNotNull(), text))
+        .select(*[F.col(c) if c == "text" else F.col(f"{name}.{c}") for c in docs.columns])
+        .unionByName(_named(hashed, hashes, "left_anti").select(f"{name}.*"))
     )
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     texts = _texts(docs)
-    spans = _if_small(stored(docs.sparkSession, removed_spans(texts), "spans"), 200)
-    joined = texts.join(spans, "text_hash", "left")
-    return joined.select(
-        "doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), _digest("bytes", "spans").alias("d")
-    ).select("doc_id", "n_bytes", "d.*")
+    spans = stored(docs.sparkSession, removed_spans(texts), "spans")
+    hashes = spans.select("text_hash")
+    cut_ = _named(texts, hashes, "left_semi").join(spans.hint("merge"), "text_hash")
+    n_bytes = F.octet_length("bytes").cast("long").alias("n_bytes")
+    zero = F.lit(0).cast("long")
+    return (
+        cut_.select("doc_id", n_bytes, _digest("bytes", "spans").alias("d"))
+        .select("doc_id", "n_bytes", "d.*")
+        .unionByName(
+            _named(texts, hashes, "left_anti").select(
+                "doc_id",
+                n_bytes,
+                zero.alias("n_removed"),
+                zero.alias("n_spans"),
+                F.sha2("bytes", 256).alias("kept_sha256"),
+            )
+        )
+    )
