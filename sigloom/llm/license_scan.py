@@ -36,6 +36,7 @@ from sigloom.llm.license_texts import NEAR_MISSES, TEMPLATES, UNKNOWN
 
 SAMPLE = 1_500
 AROUND = 12  # lines that each notice is put next to
+FIT_TASKS = 6
 SURE = 0.5
 CONFIRMED = 0.6
 CLASSES = ["none", "unknown", *TEMPLATES]
@@ -134,11 +135,11 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
-    rows = stored(
-        spark, training_rows(docs, sample).select("label", "held", grams(words(F.col("line"))).alias("g")), "train"
-    )
+    # A few thousand rows, read once for each step of the regression: in few tasks.
+    coded = training_rows(docs, sample).select("label", "held", grams(words(F.col("line"))).alias("g"))
+    rows = stored(spark, coded.coalesce(FIT_TASKS), "train")
     counter = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=3, vocabSize=20_000)
-    learned = rows.where(~F.col("held"))
+    learned = rows.where(~F.col("held")).coalesce(FIT_TASKS)
     vocabulary = counter.fit(learned)
     found = LogisticRegression(
         featuresCol="x", labelCol="label", family="multinomial", regParam=5e-4,
