@@ -113,6 +113,15 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["class"] for r in kept.collect()) == [2, 3, 4, 5, 6]
 
 
+def test_other_text_under_a_linked_id_stays(spark):
+    text = " ".join(f"q{i}" for i in range(200))
+    rows = [(1, text, 1), (3, text + " z", 2), (3, "clean words of its own", 3), (3, text + " z", 4), (3, None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
+    kept = ngram_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["text_hash"] for r in kept.collect()) == [1, 3, 5]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (5, 6), (6, 5), (7, 7)] + [(100 + i, 101 + i) for i in range(40)]
     frame = spark.createDataFrame(edges, "a long, b long")
