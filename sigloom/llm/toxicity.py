@@ -2,9 +2,11 @@
 
 ``fit`` learns from a bounded sample of labelled documents: words, and stems that many words
 start with, which stand in toxic documents far more often than in others, form the lexicon. Its
-trie is intersected with Levenshtein automata (one edit for terms of ``EDIT_FROM`` letters or
-more, unless a word that close to them is common in harmless documents); the product is made deterministic as words are read, so that most words leave it after a
-few letters. Each hit is weighed by a window of words around it: in quotation marks or after a
+trie is intersected with Levenshtein automata (one edit, of which a swap of neighbours is one, for
+terms of ``EDIT_FROM`` letters or more, also those that start with a stem, unless a word that close
+to them is common in harmless documents); the product is made deterministic as words are read, so
+that most words leave it after a few letters. Where a digit or sign parts two words that are no hits
+themselves ("m0ron"), all three are read as one word too. Each hit is weighed by a window of words around it: in quotation marks or after a
 word of reporting it counts ``QUOTED`` of a hit, since it is then mentioned rather than meant. A
 logistic regression turns counts of hits into a score.
 
@@ -51,13 +53,16 @@ REPORTING = frozenset(
 )
 
 _token = re.compile(rf"[^\W\d_]+|[{QUOTES}\n]")
+# A word, a digit or sign behind it, and the word behind that.
+_masked = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)(?=((?:[\d_]|[^\w\s{QUOTES}]))([^\W\d_]+))")
 
 
 class Matcher:
     """Words within the edits of a lexicon: a trie and Levenshtein automata, made deterministic.
 
-    A state is a set of (trie node, edits used); reading a letter matches, replaces, inserts or
-    drops. Transitions are worked out once and remembered.
+    A state is a set of (trie node, edits used); reading a letter matches, replaces, inserts, drops
+    or swaps. Amid a swap, the letter that has to follow stands in place of the edits. Transitions
+    are worked out once and remembered.
     """
 
     EXACT, CLOSE, STEMMED = 1, 2, 3
@@ -109,14 +114,22 @@ class Matcher:
         return self.numbers[state]
 
     def _move(self, state: int, letter: str) -> int:
-        out: set[tuple[int, int]] = set()
+        out: set[tuple[int, int | str]] = set()
         for node, edits in self.states[state]:
+            if isinstance(edits, str):
+                if letter == edits:
+                    out.add((node, 1))
+                continue
             child = self.children[node].get(letter)
             if child is not None:
                 out.add((child, edits))
             if edits == 0 and self.editable[node]:
                 out.add((node, 1))  # a letter too many
-                out.update((c, 1) for c in self.children[node].values())  # another letter
+                for first, c in self.children[node].items():
+                    out.add((c, 1))  # another letter
+                    swapped = self.children[c].get(letter)
+                    if swapped is not None and first != letter and self.editable[swapped]:
+                        out.add((swapped, first))
         to = self._state(self._closed(out)) if out else -1
         self.moves[state][letter] = to
         return to
@@ -138,7 +151,7 @@ class Matcher:
         return self.STEMMED if stem else self.CLOSE if self._edited(state) else 0
 
     def _edited(self, state: frozenset) -> list[str]:
-        return [self.edited_at[n] for n, _ in state if n in self.edited_at]
+        return [self.edited_at[n] for n, e in state if n in self.edited_at and not isinstance(e, str)]
 
     def close_terms(self, word: str) -> list[str]:
         """Terms that the word is an edit away from."""
@@ -182,10 +195,20 @@ class Model:
             out.append(kind)
         return out
 
+    def masked(self, text: str) -> Iterator[tuple[int, str]]:
+        """(place, word) of words with a digit or sign in them, no part of which is a hit."""
+        for m in _masked.finditer(text):
+            if not any(self.kinds([m[1], m[3]])):
+                yield m.start(), m[1] + m[2] + m[3]
+
     def features(self, text: str | None) -> list[float]:
         """1, then logs of the weighed exact, close and stemmed hits, and of hits per 100 words."""
-        tokens = _token.findall(text.lower()) if text else []
+        text = text.lower() if text else ""
+        tokens = _token.findall(text)
         kinds = self.kinds(tokens)
+        for at, word in self.masked(text):
+            if kind := self.kinds([word])[0]:
+                kinds[len(_token.findall(text[:at]))] = kind
         sums = [0.0, 0.0, 0.0, 0.0]
         if any(kinds):
             quoted, marks = False, []
@@ -256,13 +279,21 @@ def lexicon(rows: DataFrame) -> tuple[list[str], list[str], list[str]]:
         if not s.startswith(tuple(stems)):
             stems.append(s)
     words = [w for w in own if not w.startswith(tuple(stems))]
-    matcher = Matcher(words, stems, [w for w in words if len(w) >= EDIT_FROM])
+    every = Model(words, stems, [w for w in own if len(w) >= EDIT_FROM])
+    matcher = Matcher(every.words, every.stems, every.edited)
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def close(batch: pa.Array) -> pa.Array:
         return pa.array([matcher.close_terms(w) for w in batch.to_pylist()], pa.list_(pa.string()))
 
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def masked(batch: pa.Array) -> pa.Array:
+        found = [{w for _, w in every.masked((t or "").lower())} for t in batch.to_pylist()]
+        return pa.array([sorted(x) for x in found], pa.list_(pa.string()))
+
     harmless = numbered.where(F.col("toxic") == 0).groupBy("w").agg(F.count("*").alias("n"))
+    signed = rows.where(F.col("toxic") == 0).select(F.explode(masked("text")).alias("w"))
+    harmless = harmless.unionByName(signed.groupBy("w").agg(F.count("*").alias("n")))
     near = harmless.select("n", F.explode(close("w")).alias("term")).groupBy("term").agg(F.sum("n").alias("n"))
     common = {r["term"] for r in near.where(F.col("n") >= LEAST_DOCS).collect()}
     return words, stems, sorted(set(matcher.edited_at.values()) - common)

@@ -143,6 +143,38 @@ def test_matcher():
     assert m.close_terms("badwrd") == ["badword"] and m.close_terms("badword") == []
 
 
+def test_matcher_counts_a_swap_as_one_edit():
+    m = toxicity.Matcher(["scum", "badword"], ["badw"], ["badword"])
+    swapped = ["abdword", "bdaword", "badowrd", "badwodr"]
+    assert [m.match(w) for w in swapped[:3]] == [m.CLOSE] * 3 and m.match(swapped[3]) == m.STEMMED
+    assert [m.close_terms(w) for w in swapped] == [["badword"]] * 4
+    assert [m.match(w) for w in ("scmu", "abdwrd", "abdwo", "bdawor", "abdwordx", "ab", "bda")] == [0] * 7
+
+
+def test_signs_inside_words():
+    model = toxicity.Model(["moron", "scum"], [], ["moron"])
+    plain = model.features("the man said nothing at all")
+    for text in ("m0ron", "x-M0ron!", "mo@ron", "mor*n", "moro.n", "a m_ron b"):
+        assert model.features(text)[2] > 0 == model.features(text)[1], text
+    # A part that is a hit stays one.
+    assert model.features("scum2moron")[1] == pytest.approx(np.log1p(2))
+    assert model.features("moron,you")[1:3] == model.features("moron you")[1:3]
+    for text in ("m0r0n", "m0 ron", 'm"ron', "scu3", "sc-um", "12 m0"):
+        assert model.features(text)[1:] == plain[1:], text
+
+
+def test_terms_under_a_stem_keep_their_edits(spark):
+    kinds = [f"grubby{x}" for x in ("ola", "eti", "anu", "isk", "ump", "yro")]
+    rows = [(1, f"some plain {w} text here") for w in kinds for _ in range(6)]
+    rows += [(0, "some plain text here is g-ubbyola")] * 40
+    words, stems, edited = toxicity.lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+    assert stems == ["grub"] and words == []
+    assert edited == sorted(set(kinds) - {"grubbyola"})  # common in harmless texts with a sign
+    m = toxicity.Matcher(words, stems, edited)
+    assert [m.match(w) for w in ("gurbbyeti", "grxbbyeti", "rubbyeti")] == [m.CLOSE] * 3
+    assert m.match("grubbyeti") == m.match("grubbyxti") == m.STEMMED
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [f"p{chr(97 + i)}{chr(97 + j)}lum" for i in range(9) for j in range(9)]
