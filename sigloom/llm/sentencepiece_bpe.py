@@ -6,9 +6,10 @@ units, each a run of marks and what follows it. A unit's adjacent symbol pairs t
 stand on an agenda ordered by score, then by place; the best pair is merged and its new
 neighbours join the agenda until none is left. Symbols outside the vocabulary become their UTF-8
 bytes. Two characters that stand side by side in no piece part a unit further ("word" and ","),
-and these parts are remembered up to a bound, as words recur. In every Arrow batch, whole texts
-(the first and every ``CHECK_EVERY``-th) are encoded and decoded by the sentencepiece library as
-well; a difference is an error.
+and these parts are remembered up to a bound, as words recur. The sentencepiece library encodes
+and decodes, too, each unit that is not remembered yet, so each unit of every text is checked,
+and in every Arrow batch whole texts (the first and every ``CHECK_EVERY``-th); ``decode`` checks
+the first and every ``CHECK_EVERY``-th list of ids. A difference is an error.
 
 Defined results: null is encoded like empty text, as no ids; texts of any length are encoded
 whole (memory beyond the text itself follows its longest unit); equal rows give equal results; an
@@ -174,11 +175,11 @@ class Vocabulary:
 
 class _Units(dict):
     """Unit without its first mark, or part of a unit after a mark sign -> (its ids as text, its
-    plain text). What is missing is encoded."""
+    plain text). What is missing is encoded, and units are checked against the library."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, library):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.library = vocabulary, library
 
     def __missing__(self, unit: str) -> tuple[str, str]:
         v = self.vocabulary
@@ -196,8 +197,20 @@ class _Units(dict):
                 else:
                     found.append(self._keep(key, self.one(p)))
             value = ",".join([f[0] for f in found]), "".join([f[1] for f in found])
+        self.check(unit, value)
         return self._keep(unit, value)
 
+    def check(self, unit: str, value: tuple[str, str]) -> None:
+        """Raises if the library encodes or decodes the unit otherwise."""
+        ids, plain = [int(i) for i in value[0].split(",")], value[1]
+        if unit:
+            same = ids == self.library.encode(unit) and plain == " " + self.library.decode(ids)
+        else:  # a mark alone is one text with the word before it
+            both = [*self.library.encode("a"), *ids]
+            same = both == self.library.encode("a ") and "a" + plain == self.library.decode(both)
+        if not same:
+            raise ValueError(f"sentencepiece encodes or decodes {unit[:200]!r} otherwise")
+
     def one(self, part: str) -> tuple[str, str]:
         v = self.vocabulary
         ids = v.merge(part)
@@ -218,8 +231,8 @@ class Encoder:
         import sentencepiece
 
         self.vocabulary = Vocabulary(model)
-        self.units = _Units(self.vocabulary)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.units = _Units(self.vocabulary, self.library)
 
     def parts(self, text: str | None) -> list[tuple[str, str]]:
         """(ids as text, plain text) of each unit."""
@@ -234,7 +247,9 @@ class Encoder:
         return list(map(self.units.__getitem__, units))
 
     def _uncached(self, unit: str) -> list[tuple[str, str]]:
-        return [self.units.one(p) for p in self.vocabulary.parted(MARK + unit)]
+        found = [self.units.one(p) for p in self.vocabulary.parted(MARK + unit)]
+        self.units.check(unit, (",".join([f[0] for f in found]), "".join([f[1] for f in found])))
+        return found
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _ in self.parts(text) for i in ids.split(",")]
@@ -250,6 +265,12 @@ class Encoder:
             if ids != self.library.encode(text or "") or self.decode(ids) != self.library.decode(ids):
                 raise ValueError(f"sentencepiece encodes or decodes {text[:200]!r} otherwise")
 
+    def check_ids(self, lists: list[list[int] | None]) -> None:
+        """Raises if the library decodes every CHECK_EVERY-th list otherwise."""
+        for ids in lists[::CHECK_EVERY]:
+            if ids is not None and self.decode(ids) != self.library.decode(ids):
+                raise ValueError(f"sentencepiece decodes {ids[:50]} otherwise")
+
 
 _encoders: dict[bytes, Encoder] = {}
 
@@ -285,9 +306,9 @@ def decode(frame: DataFrame, model_path: str, ids: str = "ids", name: str = "tex
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(model)
         for batch in batches:
-            yield pa.array(
-                [None if x is None else own.decode(x) for x in batch.to_pylist()], pa.string()
-            )
+            lists = batch.to_pylist()
+            yield pa.array([None if x is None else own.decode(x) for x in lists], pa.string())
+            own.check_ids(lists)
 
     return frame.withColumn(name, text_of(F.col(ids)))
 

@@ -67,6 +67,25 @@ def test_sentencepiece_difference_is_an_error():
         own.check(["word"])
 
 
+def test_sentencepiece_checks_every_unit(monkeypatch):
+    own = sentencepiece_bpe.Encoder(open(PIECES, "rb").read())
+    for text in ODD:
+        own.encode(text)
+    merge, plain = own.vocabulary.merge, own.vocabulary.plain
+    monkeypatch.setattr(own.vocabulary, "merge", lambda t: [5] if t == "▁wrong" else merge(t))
+    own.encode("right word")
+    for text in ("right wrong word", "wrong\0 x"):
+        with pytest.raises(ValueError, match="otherwise"):
+            own.encode(text)
+    own.units.clear()
+    monkeypatch.setattr(own.vocabulary, "merge", merge)
+    monkeypatch.setattr(own.vocabulary, "plain", lambda ids: plain(ids) + "x")
+    with pytest.raises(ValueError, match="otherwise"):
+        own.encode("word")
+    with pytest.raises(ValueError, match="otherwise"):
+        own.check_ids([[450]])
+
+
 # Token ids in files
 
 
