@@ -6,12 +6,15 @@ import public_tokenizers
 
 from sigloom.llm import (
     decontaminate,
+    hard_negatives,
     html_extract,
     language_id,
     license_scan,
     ngram_join,
+    periodic_runs,
     quality_rules,
     sentencepiece_bpe,
+    sharding,
     suffix_dedup,
     token_output,
     toxicity,
@@ -84,3 +87,18 @@ def op8_token_output(spark, sf_dir):
 @query()
 def op7_license_scan(spark, sf_dir):
     return license_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_sharding(spark, sf_dir):
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(table(spark, sf_dir, "documents"))

@@ -1,9 +1,13 @@
 """Plain versions of the operators, for small tables held in memory."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 from sigloom.llm import quality_rules as qr
 
 
@@ -101,3 +105,69 @@ def contaminated(text, items, size=10):
                     hit.update(range(p, p + n))
                     found.add(str(item_id))
     return len(words), len(hit), sorted(found)
+
+
+def periodic_runs(words, least):
+    """(start, length, period) of all runs: each period's stretches of equal words, one by one."""
+    n, best = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q):
+                best.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((a, b - a, q) for (a, b), q in best.items())
+
+
+def planted_words(doc_id, text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def hard_negatives(rows, every, positives, negatives):
+    """rows: (vec_id, vector, label); the report as tuples."""
+    unique = set()
+    for vec_id, vector, label in rows:
+        if vec_id is None or label is None or vector is None:
+            continue
+        if any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        label = (label + 1) % 10 if vec_id % 7 == 0 else label
+        unique.add((vec_id, label, tuple(math.floor(256 * x) for x in vector)))
+    out = []
+    for anchor in unique:
+        if anchor[0] % every:
+            continue
+        scored = sorted(
+            (-sum(a * b for a, b in zip(anchor[2], v)), i, label)
+            for i, label, v in unique
+            if i != anchor[0] and len(v) == len(anchor[2])
+        )
+        for p, i, label in [x for x in scored if x[2] == anchor[1]][:positives]:
+            fit = [x for x in scored if x[2] != anchor[1] and -30 * p <= -100 * x[0] <= -90 * p]
+            out += [(anchor[0], i, r, x[1], -p, -x[0]) for r, x in enumerate(fit[:negatives], 1)]
+    return sorted(out)
+
+
+def shard(key, tree):
+    """The shard of a key by a descent, level by level."""
+    for level in (1, 2, 3):
+        draws = {}
+        for path in {s[:level] for s in tree if s.weight}:
+            weight = sum(s.weight for s in tree if s[:level] == path)
+            name = "/".join(map(str, path)).encode()
+            seed = 42 if key is None else xxhash.xxh64_intdigest(str(key).encode(), 42)
+            bits = xxhash.xxh64_intdigest(name, seed) >> 11
+            draws[path] = math.log((bits + 0.5) / 2**53) / weight
+        best = max(draws, key=draws.get)
+        tree = [s for s in tree if s[:level] == best]
+    return best[2]
