@@ -31,7 +31,7 @@ lines AS (
          l_orderkey * 31 + l_linenumber * 7 + l_partkey * 3 + l_suppkey AS number
   FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
 ),
-db AS (
+db AS MATERIALIZED (
   SELECT id,
          '1.0' AS version,
          CASE WHEN number % 33 <> 32 THEN n_name END AS cell,
@@ -43,7 +43,8 @@ db AS (
          p_size::varchar AS dose,
          p_brand AS smiles,
          coalesce(targets, []::varchar[]) AS targets,
-         CASE WHEN number % 50 <> 49 THEN embedding::double[] END AS t,
+         vec_id,
+         CASE WHEN number % 50 <> 49 THEN len(embedding)::int END AS n_t,
          number % 50 <> 49 AND number % 40 <> 39 AS has_p
   FROM lines
   JOIN part ON p_partkey = l_partkey
@@ -52,18 +53,27 @@ db AS (
   JOIN embeddings ON vec_id = number % (SELECT max(vec_id) + 1 FROM embeddings)
   LEFT JOIN part_targets ON key = p_partkey
 ),
-vals AS (
-  SELECT id, idx, t,
-         CASE WHEN has_p THEN 1.0::double / (1.0::double + 300.0::double * t * t) END AS p
+vectors AS (
+  SELECT vec_id, idx, t, 1.0::double / (1.0::double + 300.0::double * t * t) AS p
   FROM (
-    SELECT id, has_p, unnest(range(1, len(t) + 1))::int AS idx, unnest(t) AS t
-    FROM db WHERE t IS NOT NULL
+    SELECT vec_id, unnest(range(1, len(embedding) + 1))::int AS idx,
+           unnest(embedding)::double AS t
+    FROM embeddings
   )
 ),
-significant AS (
-  SELECT id, count(*) FILTER (p <= 0.05) AS n05, count(*) FILTER (p <= 0.03) AS n03,
+vals AS (
+  SELECT id, idx, t, CASE WHEN has_p THEN p END AS p
+  FROM db JOIN vectors USING (vec_id) WHERE n_t IS NOT NULL
+),
+vector_counts AS (
+  SELECT vec_id, count(*) FILTER (p <= 0.05) AS n05, count(*) FILTER (p <= 0.03) AS n03,
          count(*) FILTER (p <= 0.02) AS n02
-  FROM vals GROUP BY id
+  FROM vectors GROUP BY vec_id
+),
+significant AS (
+  SELECT id, CASE WHEN has_p THEN n05 ELSE 0 END AS n05, CASE WHEN has_p THEN n03 ELSE 0 END AS n03,
+         CASE WHEN has_p THEN n02 ELSE 0 END AS n02
+  FROM db JOIN vector_counts USING (vec_id) WHERE n_t IS NOT NULL
 ),
 flat AS (
   SELECT db.id, coalesce(cell, 'N/A') AS cell,
@@ -71,11 +81,14 @@ flat AS (
          trt_type, trt_name, coalesce(n05 > 0, false) AS informative
   FROM db LEFT JOIN significant USING (id)
 ),
+vector_ranks AS (
+  SELECT vec_id, idx,
+         (sign(t) * (rank() OVER (PARTITION BY vec_id ORDER BY abs(t))
+                     + (count(*) OVER (PARTITION BY vec_id, abs(t)) - 1) / 2.0::double))::double AS r
+  FROM vectors
+),
 ranks AS (
-  SELECT id, idx,
-         (sign(t) * (rank() OVER (PARTITION BY id ORDER BY abs(t))
-                     + (count(*) OVER (PARTITION BY id, abs(t)) - 1) / 2.0::double))::double AS r
-  FROM vals
+  SELECT id, idx, r FROM db JOIN vector_ranks USING (vec_id) WHERE n_t IS NOT NULL
 )
 """
 
@@ -152,15 +165,15 @@ def scores(ordered: bool = False, where: str = "true") -> str:
 reach AS (
   SELECT sig_id, sum(((SELECT count(*) FROM raw_genes) - pos + 1) * abs(weight)) AS c_max FROM parsed GROUP BY sig_id
 ),
+vector_scores AS (
+  SELECT sig_id, vec_id, sum(weight * r) / any_value(c_max) AS zhang
+  FROM parsed JOIN vector_ranks USING (idx) JOIN reach USING (sig_id) GROUP BY sig_id, vec_id
+),
 scores AS (
-  SELECT s.sig_id, d.id, coalesce(any_value(z.zhang), 0.0::double) AS zhang
+  SELECT s.sig_id, d.id, coalesce(z.zhang, 0.0::double) AS zhang
   FROM (SELECT DISTINCT sig_id FROM tokens) AS s
-  CROSS JOIN (SELECT id FROM db WHERE t IS NOT NULL AND {where}) AS d
-  LEFT JOIN (
-    SELECT sig_id, id, sum(weight * r) / any_value(c_max) AS zhang
-    FROM parsed JOIN ranks USING (idx) JOIN reach USING (sig_id) GROUP BY sig_id, id
-  ) AS z ON z.sig_id = s.sig_id AND z.id = d.id
-  GROUP BY s.sig_id, d.id
+  CROSS JOIN (SELECT id, vec_id FROM db WHERE n_t IS NOT NULL AND {where}) AS d
+  LEFT JOIN vector_scores AS z ON z.sig_id = s.sig_id AND z.vec_id = d.vec_id
 )
 """
     )
@@ -210,12 +223,12 @@ FROM pairs GROUP BY ALL"""
 
 ANNOTATED = """
 SELECT id, {version} AS version, {cell} AS cell, trt_type, trt_id, trt_name, dose,
-       {smiles} AS smiles, array_to_string(targets, ',') AS targets, len(t)::int AS n_t,
-       CASE WHEN has_p THEN len(t)::int END AS n_p, {n_r} AS n_r
+       {smiles} AS smiles, array_to_string(targets, ',') AS targets, n_t,
+       CASE WHEN has_p THEN n_t END AS n_p, {n_r} AS n_r
 FROM db"""
 
 
-def annotated(version="version", cell="cell", smiles="smiles", n_r="len(t)::int") -> str:
+def annotated(version="version", cell="cell", smiles="smiles", n_r="n_t") -> str:
     return ANNOTATED.format(version=version, cell=cell, smiles=smiles, n_r=n_r)
 
 
@@ -363,7 +376,7 @@ ORDER BY trt_id, trt_name LIMIT 10"""),
     "perturbation_details": sql("""
 SELECT id, 'version=1.0,processingDate=2024-01-01' AS meta, db.cell, db.trt_type, trt_id,
        db.trt_name, db.dose, smiles, array_to_string(targets, ',') AS targets,
-       t IS NOT NULL AS has_profile, informative
+       n_t IS NOT NULL AS has_profile, informative
 FROM db JOIN flat USING (id) WHERE id = (SELECT min(id) FROM lines)"""),
     "parse_signature": sql("SELECT * FROM parsed", ORDER_TOKENS, parsed()),
     "parse_signature_ordered": sql("SELECT * FROM parsed", ORDER_TOKENS, parsed(True)),
