@@ -146,12 +146,14 @@ def load(
     storage_level: str | None = None,
     ranks_path: str | None = None,
     gene_order: str | list[str] | None = None,
+    partitions: int | None = None,
 ) -> Engine:
     """Find the inputs, keep those of one version, and open them with the gene table.
 
     `gene_order` names the columns whose order the vectors follow. Nothing but the choice of
     inputs runs now. Data without stored ranks are ranked as
-    they are read; `storage_level` keeps the opened database cached between queries.
+    they are read; `storage_level` keeps the opened database cached between queries, and
+    `partitions` deals its rows out evenly first.
     """
     args = Arguments()
     args.words("paths", [paths] if isinstance(paths, str) else paths)
@@ -161,6 +163,8 @@ def load(
     args.require(
         multiplicity == 1 or ranks_path is None, "a gene-major copy needs multiplicity 1"
     )
+    if partitions is not None:
+        args.positive("partitions", partitions)
     if storage_level is not None:
         args.one_of("storage_level", storage_level, STORAGE_LEVELS)
     args.done()
@@ -169,6 +173,8 @@ def load(
     found = [row.path for row in chosen.select("path").collect()]
     genes = read_genes(spark, gene_annotations, gene_data_types, gene_order)
     db = replicate_db(open_ranked(spark, found, genes), multiplicity)
+    if partitions is not None:
+        db = db.repartition(partitions)
     if storage_level is not None:
         db = db.persist(getattr(StorageLevel, storage_level))
     ranks = None if ranks_path is None else read_gene_major(spark, ranks_path)

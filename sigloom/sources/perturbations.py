@@ -8,14 +8,23 @@ from pyspark.sql import types as T
 
 from sigloom.functions.arguments import Arguments
 from sigloom.schema import PERTURBATION
+from sigloom.sources.nested import kinds_of, read_nested
 
 
 def read_db(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Read datasets with the fixed schema: missing columns are null, others ignored."""
+    """Read datasets with the fixed schema: missing columns are null, others ignored.
+
+    A look at one footer of each dataset tells its layout. Those with a struct for each kind of
+    treatment (see `nested`) are folded into the fixed schema; an unknown layout is an error.
+    """
     args = Arguments()
     found = args.words("paths", [paths] if isinstance(paths, str) else paths)
     args.done()
-    return spark.read.schema(PERTURBATION).parquet(*found)
+    nested = [path for path in found if kinds_of(spark.read.parquet(path).schema, path)]
+    flat = [path for path in found if path not in nested]
+    parts = [spark.read.schema(PERTURBATION).parquet(*flat)] if flat else []
+    parts += [read_nested(spark, path) for path in nested]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _shaped(column: Column, has: T.DataType, wanted: T.DataType) -> Column:

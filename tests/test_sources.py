@@ -235,6 +235,13 @@ def test_load_accepts_one_path(spark, folder):
     assert engine.counts().collect() == [("db", 6), ("flatdb", 6)]
 
 
+def test_load_deals_out_rows(spark, folder):
+    engine = load(
+        spark, f"{folder}/one.parquet", f"{folder}/genes/genes.parquet", gene_order="gene_id", partitions=6
+    )
+    assert engine.db.rdd.getNumPartitions() == 6 and engine.db.count() == 6
+
+
 def test_load_reports_all_problems(spark):
     with pytest.raises(ArgumentError) as error:
         load(spark, multiplicity=0, storage_level="MEMORY_ONLY_1")

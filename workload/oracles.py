@@ -299,6 +299,7 @@ ORACLES = {
     "select_version": sql(VERSIONS.format(where="WHERE trt_type IN ('trt_oe', 'trt_sh', 'trt_lig')")),
     "select_version_v1": sql(VERSIONS.format(where="WHERE trt_type = 'trt_cp'")),
     "read_db": sql(DELIVERED),
+    "read_db_nested": sql(annotated(n_r="NULL::int")),
     "union_dbs": sql(DELIVERED),
     "replicate_db": sql("SELECT id, 3::bigint AS copies FROM db"),
     "initialize": sql(

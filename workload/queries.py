@@ -142,6 +142,24 @@ def read_db(spark, sf_dir):
     return _annotated(perturbations.read_db(spark, _paths(spark, sf_dir)))
 
 
+def read_db_nested(spark, sf_dir):
+    """Two datasets of the nested layout: an older one that knows four kinds of treatment, and a
+    newer one that knows all and has every other row."""
+    key = (spark.sparkContext.applicationId, sf_dir, "nested")
+    if key not in _written:
+        folder = shared_folder(spark, "nested")
+        unranked = tables.unranked_db(spark, sf_dir)
+        older = F.col("trt_type").isin(*tables.FOUR_KINDS) & (F.crc32("id") % 2 == 0)
+        for name, rows, kinds in (
+            ("older", older, tables.FOUR_KINDS),
+            ("newer", ~older, tables.ALL_KINDS),
+        ):
+            tables.nested(unranked.filter(rows), kinds).write.parquet(f"{folder}/{name}.parquet")
+        _written[key] = folder
+    paths = [f"{_written[key]}/{name}.parquet" for name in ("older", "newer")]
+    return _annotated(perturbations.read_db(spark, paths))
+
+
 def union_dbs(spark, sf_dir):
     dbs = [spark.read.parquet(path) for path in _paths(spark, sf_dir)]
     return _annotated(perturbations.union_dbs(*dbs))
@@ -470,6 +488,7 @@ QUERIES = {
         select_version,
         select_version_v1,
         read_db,
+        read_db_nested,
         union_dbs,
         replicate_db,
         initialize,

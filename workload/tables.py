@@ -20,6 +20,22 @@ TREATMENT_TYPES = {
     "SMALL": "ctl_vehicle",
 }
 
+# Kinds of treatment of older and newer files of the nested layout.
+FOUR_KINDS = ("trt_cp", "trt_sh", "trt_oe", "trt_lig")
+ALL_KINDS = (
+    *FOUR_KINDS,
+    "trt_sh_cgs",
+    "trt_sh_css",
+    "trt_oe_mut",
+    "trt_xpr",
+    "ctl_vehicle",
+    "ctl_vehicle_cns",
+    "ctl_vector",
+    "ctl_vector_cns",
+    "ctl_untrt",
+    "ctl_untrt_cns",
+)
+
 META = {"version": "1.0", "processingDate": "2024-01-01"}
 
 
@@ -192,3 +208,17 @@ def nation_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").cast("int").alias("pos"),
         token.alias("token"),
     )
+
+
+def nested(db: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """A database in the nested layout, with an optional struct for each of the kinds."""
+    treatments = [F.when(F.col("trt_type") == kind, F.col("trt")).alias(kind) for kind in kinds]
+    profile = F.when(F.col("profile").isNotNull(), F.struct("profile.t", "profile.p"))
+    return db.select(
+        "id",
+        "meta",
+        F.when(F.col("cell").isNotNull(), F.array("cell")).alias("cellDetails"),
+        F.col("trt_type").alias("trtType"),
+        F.struct(*treatments).alias("trt"),
+        F.struct(profile.alias("profile")).alias("profiles"),
+    )
