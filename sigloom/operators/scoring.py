@@ -15,6 +15,7 @@ from sigloom.functions.patterns import matches_any
 from sigloom.functions.vectors import aligned_sql, count_at_most, is_informative, score_sql
 from sigloom.operators.flat import apply_filters
 from sigloom.operators.prepare import with_gene_count
+from sigloom.operators.pushdown import is_one_of
 from sigloom.operators.signatures import (
     INLINE_TOKENS,
     as_lists,
@@ -22,7 +23,9 @@ from sigloom.operators.signatures import (
     signature_blocks,
     signature_weights,
 )
+from sigloom.operators.threshold import best_by_threshold
 from sigloom.schema import SIGNIFICANT
+from sigloom.sources.blocks import Blocks
 
 # Columns a report can show, apart from the score.
 FEATURES = {
@@ -173,24 +176,6 @@ def rank_column() -> Column:
     ).otherwise(F.col("profile.r")).alias("_ranks")
 
 
-# Fixed value: Spark pushes an IN of up to this many values to Parquet as single values; of a
-# longer one only the smallest and largest reach the scan.
-PUSHED_VALUES = 10
-
-
-def is_one_of(column: str, values: list) -> Column:
-    """column IN values, in parts that all reach the scan, joined as a flat tree of ORs."""
-    values = sorted(values)
-    parts = [
-        F.col(column).isin(values[at : at + PUSHED_VALUES])
-        for at in range(0, len(values), PUSHED_VALUES)
-    ] or [F.lit(False)]
-    while len(parts) > 1:
-        pairs = zip(parts[::2], parts[1::2])
-        parts = [a | b for a, b in pairs] + ([parts[-1]] if len(parts) % 2 else [])
-    return parts[0]
-
-
 def with_scores(frame: DataFrame, genes: DataFrame, signatures, ordered: bool = False) -> DataFrame:
     """`frame` with `sig_id` and `zhang` in place of its rank vectors `_ranks`.
 
@@ -263,6 +248,14 @@ def best_rows(scored: DataFrame, signatures, n: int, highest: bool = True) -> Da
     return kept.orderBy("sig_id", "place").drop("place")
 
 
+def _looked_up(db: DataFrame, chosen: DataFrame, wanted: list[str]) -> DataFrame:
+    """The chosen rows of one signature, at most n, with the columns the features need: their
+    ids let the scan of db, which is ordered by id, skip the rest."""
+    found = chosen.toArrow()
+    rows = db.filter(is_one_of("id", found["id"].to_pylist()))
+    return _feature_inputs(rows, wanted).join(db.sparkSession.createDataFrame(found), "id")
+
+
 def top_table(
     db: DataFrame,
     genes: DataFrame,
@@ -273,10 +266,12 @@ def top_table(
     filters=None,
     ordered: bool = False,
     ranks: DataFrame | None = None,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """The `head` best or the `tail` worst matches of a signature, with chosen columns.
 
-    With `ranks`, the gene-major copy of `db`, only the chosen rows are looked up in `db`.
+    With `ranks`, the gene-major copy of `db`, only the chosen rows are looked up in `db`. With
+    `blocks`, its block layout, a single signature is also matched without reading all ranks.
     """
     args = Arguments()
     as_lists(signature, args)
@@ -287,20 +282,23 @@ def top_table(
     args.flag("ordered", ordered)
     args.done()
     highest, n = head > 0, head if head > 0 else tail
-    if ranks is None:
+    lists = as_lists(signature, Arguments())
+    single = lists is not None and len(lists) == 1
+    found = None
+    if blocks is not None and single:
+        found = best_by_threshold(db, genes, blocks, signature, n, highest, ordered, filters)
+    if found is not None:
+        scored = _looked_up(db, found[0], wanted)
+    elif ranks is None:
         inputs = _feature_inputs(apply_filters(db, filters), wanted, rank_column())
         scored = with_scores(inputs, genes, signature, ordered)
     else:
         scores = zhang_score(db, genes, signature, ordered, filters, ranks)
         chosen = best_rows(scores, signature, n, highest)
-        lists = as_lists(signature, Arguments())
-        rows = db
-        if lists is not None and len(lists) == 1:
-            # At most n rows: their ids let the scan of db, which is ordered by id, skip the rest.
-            found = chosen.toArrow()
-            chosen = db.sparkSession.createDataFrame(found)
-            rows = db.filter(is_one_of("id", found["id"].to_pylist()))
-        scored = _feature_inputs(rows, wanted).join(chosen, "id")
+        if single:
+            scored = _looked_up(db, chosen, wanted)
+        else:
+            scored = _feature_inputs(db, wanted).join(chosen, "id")
     return _feature_columns(best_rows(scored, signature, n, highest), wanted)
 
 

@@ -12,6 +12,7 @@ from sigloom.operators import flat, generate, histograms, lookup, scoring
 from sigloom.operators.prepare import rank_vectors
 from sigloom.operators.signatures import check_signature, parse_signature
 from sigloom.schema import SIGNIFICANT
+from sigloom.sources.blocks import Blocks, read_blocks
 from sigloom.sources.genes import read_genes
 from sigloom.sources.inventory import probe_versions, select_version
 from sigloom.sources.layouts import read_gene_major
@@ -30,11 +31,12 @@ STORAGE_LEVELS = (
 
 @dataclass(frozen=True)
 class Engine:
-    """`db` with its gene table and, optionally, its gene-major copy `ranks`."""
+    """`db` with its gene table and, optionally, its gene-major copy `ranks` and its `blocks`."""
 
     db: DataFrame
     genes: DataFrame
     ranks: DataFrame | None = None
+    blocks: Blocks | None = None
 
     @cached_property
     def flat(self) -> DataFrame:
@@ -89,7 +91,9 @@ class Engine:
         return scoring.zhang_score(self.db, self.genes, signatures, ranks=self.ranks, **options)
 
     def top_table(self, signature=None, **options) -> DataFrame:
-        return scoring.top_table(self.db, self.genes, signature, ranks=self.ranks, **options)
+        return scoring.top_table(
+            self.db, self.genes, signature, ranks=self.ranks, blocks=self.blocks, **options
+        )
 
     def annotated_ids(self, signature=".*", **options) -> DataFrame:
         return scoring.annotated_ids(self.db, self.genes, signature, **options)
@@ -147,6 +151,7 @@ def load(
     ranks_path: str | None = None,
     gene_order: str | list[str] | None = None,
     partitions: int | None = None,
+    blocks_path: str | None = None,
 ) -> Engine:
     """Find the inputs, keep those of one version, and open them with the gene table.
 
@@ -160,9 +165,8 @@ def load(
     args.text("gene_annotations", gene_annotations)
     args.words("gene_order", gene_order)
     args.positive("multiplicity", multiplicity)
-    args.require(
-        multiplicity == 1 or ranks_path is None, "a gene-major copy needs multiplicity 1"
-    )
+    for path, layout in ((ranks_path, "gene-major"), (blocks_path, "blocks")):
+        args.require(multiplicity == 1 or path is None, f"a {layout} copy needs multiplicity 1")
     if partitions is not None:
         args.positive("partitions", partitions)
     if storage_level is not None:
@@ -178,4 +182,5 @@ def load(
     if storage_level is not None:
         db = db.persist(getattr(StorageLevel, storage_level))
     ranks = None if ranks_path is None else read_gene_major(spark, ranks_path)
-    return Engine(db, genes, ranks)
+    blocks = None if blocks_path is None else read_blocks(spark, blocks_path)
+    return Engine(db, genes, ranks, blocks)

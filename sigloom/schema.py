@@ -75,3 +75,17 @@ SIGNATURE = T.StructType(
 COMPOUND = "trt_cp"
 NOT_AVAILABLE = "N/A"
 SIGNIFICANT = 0.05
+
+# Block layout: the ranks of one gene in one block, in the order of the block's members. The
+# row of gene 0 has the ids of the members.
+MEMBERS = T.ArrayType(T.StringType())
+BLOCK_LIST = T.StructType(
+    [
+        T.StructField("idx", T.IntegerType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("low", T.DoubleType()),
+        T.StructField("high", T.DoubleType()),
+        T.StructField("ranks", T.ArrayType(T.DoubleType())),
+        T.StructField("ids", MEMBERS),
+    ]
+)

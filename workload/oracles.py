@@ -392,6 +392,10 @@ FROM db JOIN flat USING (id) WHERE id = (SELECT min(id) FROM lines)"""),
     "top_table_head_gene_major": sql(
         top("DESC", 14), tokens(q.S1), scores(where="trt_type = 'trt_cp'")
     ),
+    "top_table_head_threshold": sql(top("DESC", 14), tokens(q.S1), scores()),
+    "top_table_tail_threshold": sql(
+        top("ASC", 14), tokens(q.S1), scores(where="trt_type = 'trt_cp'")
+    ),
     "top_table_head_nations": sql(
         """
 SELECT sig_id, id, zhang, cell FROM (

@@ -8,7 +8,7 @@ from sigloom.operators import flat, generate, histograms, lookup, prepare, scori
 from sigloom.plans.engine import load
 from sigloom.plans.shared import shared_folder
 from sigloom.sources import genes as gene_source
-from sigloom.sources import inventory, layouts, perturbations
+from sigloom.sources import blocks, inventory, layouts, perturbations
 from workload import tables
 
 S1 = "GENE03 -GENE17 GENE40 GENE05 -GENE64"
@@ -401,6 +401,29 @@ def top_table_head_gene_major(spark, sf_dir):
     )
 
 
+def _stored_blocks(spark, sf_dir):
+    """The wide database and its block layout, written once per session and table folder."""
+    wide, _ = _stored_ranks(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "blocks")
+    if key not in _written:
+        path = f"{shared_folder(spark, 'blocks')}/blocks"
+        layouts.write_db(wide, path, layout="blocks")
+        _written[key] = path
+    return wide, blocks.read_blocks(spark, _written[key])
+
+
+def top_table_head_threshold(spark, sf_dir):
+    wide, lists = _stored_blocks(spark, sf_dir)
+    genes = tables.genes(spark, sf_dir)
+    return scoring.top_table_head(wide, genes, S1, 14, FEATURES, blocks=lists)
+
+
+def top_table_tail_threshold(spark, sf_dir):
+    wide, lists = _stored_blocks(spark, sf_dir)
+    genes = tables.genes(spark, sf_dir)
+    return scoring.top_table_tail(wide, genes, S1, 14, FEATURES, COMPOUNDS_ONLY, blocks=lists)
+
+
 def top_table_head_nations(spark, sf_dir):
     return scoring.top_table_head(
         tables.db(spark, sf_dir),
@@ -526,6 +549,8 @@ QUERIES = {
         top_table_head,
         top_table_head_filtered,
         top_table_head_gene_major,
+        top_table_head_threshold,
+        top_table_tail_threshold,
         top_table_head_nations,
         top_table_tail,
         annotated_ids,
