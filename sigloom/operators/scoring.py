@@ -5,16 +5,20 @@ of one half and weights whole numbers, so sums are exact in double precision and
 do not depend on the order of summation.
 """
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigloom.functions.arguments import Arguments
 from sigloom.functions.patterns import matches_any
 from sigloom.functions.vectors import aligned_sql, count_at_most, is_informative, score_sql
 from sigloom.operators.flat import apply_filters
-from sigloom.operators.prepare import with_gene_count
+from sigloom.operators.prepare import CELLS, with_gene_count
 from sigloom.operators.pushdown import is_one_of
 from sigloom.operators.signatures import (
     INLINE_TOKENS,
@@ -122,6 +126,78 @@ def score_vectors(frame: DataFrame, genes: DataFrame, resolved: DataFrame) -> Da
     return unfolded.filter("sig_id IS NOT NULL")
 
 
+def score_products(frame: DataFrame, genes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The rows of `score_vectors`, for many signatures, as products of blocks.
+
+    The signatures of a part, inverted by gene, and their ids reach the tasks as arrays of the
+    size that `block_count` bounds. A task multiplies some vectors, restricted to the genes in
+    use, with the dense weights of some signatures at a time; neither factor nor the product has
+    more than CELLS numbers, whatever the size of a batch, the table or the vectors.
+    """
+    keep = [name for name in frame.columns if name != "_ranks"]
+    names = [name for name in resolved.columns if name != "sig_id"]
+    signatures = resolved.orderBy("sig_id").toArrow().combine_chunks()
+    weights = {name: _Weights(signatures[name].combine_chunks()) for name in names}
+    ids = signatures["sig_id"].combine_chunks()
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(0)
+            there = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+            if not len(there) or not len(ids):
+                continue
+            offsets = vectors.offsets.to_numpy()
+            n_genes = int(offsets[there[0] + 1] - offsets[there[0]])
+            flat = vectors.values.to_numpy(zero_copy_only=False)
+            others = pa.RecordBatch.from_arrays(batch.columns[1:], names=keep)
+            used = max(1, *(len(w.genes) for w in weights.values()))
+            rows = max(1, min(CELLS // max(n_genes, used), len(there)))
+            width = max(1, min(CELLS // max(used, rows), len(ids)))
+            for at in range(0, len(there), rows):
+                own = there[at : at + rows]
+                ranks = flat[offsets[own][:, None] + np.arange(n_genes)]
+                for first in range(0, len(ids), width):
+                    last = min(first + width, len(ids))
+                    scores = [w.scores(ranks, first, last) for w in weights.values()]
+                    n = last - first
+                    repeated = others.take(pa.array(np.repeat(own, n)))
+                    sig_ids = ids.take(pa.array(np.tile(np.arange(first, last), len(own))))
+                    yield pa.RecordBatch.from_arrays(
+                        [*repeated.columns, sig_ids, *[pa.array(s.ravel()) for s in scores]],
+                        names=[*keep, "sig_id", *names],
+                    )
+
+    ready = with_gene_count(frame, genes)
+    vectors = F.expr(aligned_sql("_ranks", "_n_genes"))
+    kind = T.StructType([frame.schema[name] for name in keep]).add("sig_id", T.StringType())
+    for name in names:
+        kind = kind.add(name, T.DoubleType())
+    return ready.select(vectors.alias("_ranks"), *keep).mapInArrow(multiplied, kind)
+
+
+class _Weights:
+    """Weights of signatures by gene: places among the genes in use, signatures, weights."""
+
+    def __init__(self, column: pa.StructArray):
+        entries = column.field("weights")
+        offsets = entries.offsets.to_numpy()
+        flat = entries.values
+        idx = flat.field("idx").to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.arange(offsets[0], offsets[-1])
+        self.genes, self.place = np.unique(idx[order] - 1, return_inverse=True)
+        self.weight = flat.field("weight").to_numpy(zero_copy_only=False)[order]
+        self.starts = offsets - offsets[0]
+        self.c_max = column.field("c_max").to_numpy(zero_copy_only=False)
+
+    def scores(self, ranks: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Scores of rows with the signatures from first to last; sums of exact terms."""
+        dense = np.zeros((len(self.genes), last - first))
+        own = slice(self.starts[first], self.starts[last])
+        signature = np.repeat(np.arange(last - first), np.diff(self.starts[first : last + 1]))
+        dense[self.place[own], signature] = self.weight[own]
+        return ranks[:, self.genes] @ dense / self.c_max[first:last] + 0.0
+
+
 def score_genes(ranks: DataFrame, resolved: DataFrame) -> DataFrame:
     """The same scores from gene-major ranks, as (sig_id, id, scores), for unique ids.
 
@@ -181,16 +257,16 @@ def with_scores(frame: DataFrame, genes: DataFrame, signatures, ordered: bool =
 
     Map-only: the resolved signatures reach each task as one value of bounded size, and
     every vector is read once for all of them. Larger signature tables are scored block
-    by block.
+    by block. The few signatures of a list are scored in expressions, those of a table in
+    products.
     """
     args = Arguments()
-    as_lists(signatures, args)
+    lists = as_lists(signatures, args)
     args.flag("ordered", ordered)
     args.done()
+    score = score_products if lists is None else score_vectors
     blocks = signature_blocks(frame.sparkSession, signatures, block_count(signatures))
-    scored = [
-        score_vectors(frame, genes, resolve(genes, block, ordered, SCORE)) for block in blocks
-    ]
+    scored = [score(frame, genes, resolve(genes, block, ordered, SCORE)) for block in blocks]
     return reduce(DataFrame.unionAll, scored)
 
 
