@@ -89,3 +89,7 @@ BLOCK_LIST = T.StructType(
         T.StructField("ids", MEMBERS),
     ]
 )
+
+# Under this name the column `meta` carries, in the footers of a dataset, the entries that all of
+# its rows have.
+STAMP = "entries"

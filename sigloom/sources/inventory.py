@@ -4,10 +4,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigloom.functions.arguments import ArgumentError, Arguments
 from sigloom.functions.metadata import iso_date, meta_value, version_part
-from sigloom.schema import PERTURBATION
+from sigloom.schema import PERTURBATION, STAMP
 
 
 def _read_arguments(paths: str | list[str]) -> list[str]:
@@ -64,30 +65,37 @@ def input_inventory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def _meta_entries(spark: SparkSession, dataset: str) -> list[tuple[str, str]] | None:
+    """The entries of `meta` in a dataset's first row, as a list or null.
+
+    A dataset that `write_db` has stamped tells them in the footer of a file, and no row is read.
+    Of any other, Spark reads the first batch of the column in the first partition that has rows.
+    """
+    footer = spark.read.parquet(dataset).schema
+    if "meta" in footer.names and STAMP in footer["meta"].metadata:
+        return list(footer["meta"].metadata[STAMP].items())
+    only = T.StructType([PERTURBATION["meta"]])
+    first = spark.read.schema(only).parquet(dataset).head(1)
+    return [tuple(e) for e in first[0].meta or [] if e is not None] if first else None
+
+
 def probe_versions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, version_major, version_minor, processing_date) read from each first row.
+    """(path, version_major, version_minor, processing_date) of each dataset, from its first row.
 
-    One scan of the `meta` column serves all inputs. Only the first row of each file
-    enters the aggregation, and the first file that has rows wins.
+    What is read for a dataset does not grow with it: a footer, and a batch of rows at most.
     """
     paths = _read_arguments(paths)
-    first_rows = (
-        _rows(spark, paths)
-        .filter(F.col("_metadata.row_index") == 0)
-        .groupBy("dataset")
-        .agg(F.min_by("meta", F.col("_metadata.file_path")).alias("meta"))
+    datasets = sorted(row.dataset for row in _files(spark, paths).distinct().collect())
+    probed = spark.createDataFrame(
+        [(dataset, _meta_entries(spark, dataset)) for dataset in datasets],
+        T.StructType([T.StructField("dataset", T.StringType()), PERTURBATION["meta"]]),
     )
     version = meta_value(F.col("meta"), "version")
-    return (
-        _files(spark, paths)
-        .distinct()
-        .join(first_rows, "dataset", "left")
-        .select(
-            F.col("dataset").alias("path"),
-            version_part(version, 1).alias("version_major"),
-            version_part(version, 2).alias("version_minor"),
-            iso_date(meta_value(F.col("meta"), "processingDate")).alias("processing_date"),
-        )
+    return probed.select(
+        F.col("dataset").alias("path"),
+        version_part(version, 1).alias("version_major"),
+        version_part(version, 2).alias("version_minor"),
+        iso_date(meta_value(F.col("meta"), "processingDate")).alias("processing_date"),
     )
 
 

@@ -51,6 +51,50 @@ def test_probe_versions(spark, folder):
     assert rows["empty.parquet"] == (0, 0, datetime.date(1, 1, 1))
 
 
+def rows_read(spark, action):
+    """The largest number of rows that any operator of the queries of an action put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    action()
+    found = [0]
+    executions = store.executionsList(int(before), 100)
+    for i in range(executions.size()):
+        execution = executions.apply(i)
+        values = store.executionMetrics(execution.executionId())
+        for j in range(execution.metrics().size()):
+            metric = execution.metrics().apply(j)
+            if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                found.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return max(found)
+
+
+def test_probing_reads_a_batch_at_most(spark, unranked, tmp_path):
+    for name, k in (("small", 1), ("large", 20_000)):
+        many = replicate_db(with_meta(unranked, {"version": "3.1"}), k).select("id", "meta")
+        many.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    read = {
+        name: rows_read(spark, lambda: probe_versions(spark, str(tmp_path / f"{name}.parquet")).collect())
+        for name in ("small", "large")
+    }
+    assert 1 <= read["small"] <= 6 and read["large"] <= 4096
+    found = probe_versions(spark, str(tmp_path)).collect()
+    assert [tuple(r)[1:3] for r in found] == [(3, 1), (3, 1)]
+
+
+def test_probing_a_stamped_dataset_reads_no_row(spark, unranked, tmp_path):
+    path = str(tmp_path / "stamped.parquet")
+    write_db(unranked, path, meta={"version": "4.2", "processingDate": "2025-02-03"})
+    assert rows_read(spark, lambda: probe_versions(spark, path).collect()) <= 1  # the list of files
+    assert tuple(probe_versions(spark, path).first())[1:] == (4, 2, datetime.date(2025, 2, 3))
+    # Other entries, written over what was read with its metadata, replace the stamp.
+    again = str(tmp_path / "again.parquet")
+    write_db(spark.read.parquet(path), again, meta={"version": "5.0"})
+    plain = str(tmp_path / "plain.parquet")
+    with_meta(spark.read.parquet(path), {"version": "6.0"}).write.parquet(plain)
+    found = [tuple(r)[1:3] for r in probe_versions(spark, [again, plain]).collect()]
+    assert found == [(5, 0), (6, 0)]
+
+
 @pytest.mark.parametrize(
     "version, names",
     [("latest", {"two.parquet", "two-one.parquet"}), (1, {"one.parquet"}), ("v1", {"one.parquet"})],
