@@ -282,13 +282,16 @@ WHERE starts_with(db.trt_name, 'CMP_00007') OR regexp_full_match(db.trt_name, 'b
 ORDER BY db.trt_name, db.id LIMIT {limit}"""
 
 
-def generated(p_value: float) -> str:
+FIRST_FOUR = "SELECT id FROM lines ORDER BY id LIMIT 4"
+
+
+def generated(p_value: float, ids: str = FIRST_FOUR) -> str:
     return f"""
 SELECT 'signature' AS sig_id, row_number() OVER (ORDER BY abs(t) DESC, idx)::int AS pos,
        CASE WHEN t < 0 THEN '-' ELSE '' END || gene_symbol AS token
 FROM (
   SELECT idx, median(t) AS t, median(p) AS p FROM vals
-  WHERE id IN (SELECT id FROM lines ORDER BY id LIMIT 4) GROUP BY idx
+  WHERE id IN ({ids}) GROUP BY idx
 ) JOIN raw_genes ON i = idx
 WHERE p <= {p_value} AND t <> 0"""
 
@@ -440,6 +443,9 @@ SELECT 'signature' AS sig_id, count(*) AS n, round(corr(one, two), 6) AS pearson
     ),
     "generate_signature": sql(generated(0.3)),
     "generate_signature_strict": sql(generated(0.05)),
+    "generate_signature_compounds": sql(
+        generated(0.35, "SELECT id FROM db WHERE trt_type = 'trt_cp'")
+    ),
     "generated_then_scored": sql(
         """
 SELECT sig_id, id, zhang FROM scores ORDER BY zhang DESC, id LIMIT 14""",

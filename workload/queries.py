@@ -495,6 +495,13 @@ def generate_signature_strict(spark, sf_dir):
     )
 
 
+def generate_signature_compounds(spark, sf_dir):
+    """The genes that compounds change, over all samples of compounds."""
+    db = tables.db(spark, sf_dir)
+    samples = db.filter(F.col("trt_type") == "trt_cp").select("id")
+    return generate.generate_signature(db, tables.genes(spark, sf_dir), samples, 0.35)
+
+
 def generated_then_scored(spark, sf_dir):
     """The perturbations that are most like a few samples."""
     made = generate_signature(spark, sf_dir)
@@ -563,6 +570,7 @@ QUERIES = {
         correlation_coefficient,
         generate_signature,
         generate_signature_strict,
+        generate_signature_compounds,
         generated_then_scored,
     )
 }
