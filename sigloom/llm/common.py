@@ -47,4 +47,13 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     than the tasks that read it and nothing above it runs twice."""
     path = work_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_in = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Removes the table that stored() wrote, once what was made from it is stored as well."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept.stored_in)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
