@@ -25,6 +25,7 @@ from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ MARK = "▁"
 REMEMBERED = 400_000  # units and parts for each Python worker
 LONGEST = 48  # characters of a unit that is remembered
 CHECK_EVERY = 64
+TEXTS = 256  # texts whose ids are Python objects at a time, and whose new units are checked together
 
 _NORMAL, _BYTE = 1, 6
 _unit = re.compile(f"{MARK}+[^{MARK}]*")
@@ -180,6 +182,7 @@ class _Units(dict):
     def __init__(self, vocabulary: Vocabulary, library):
         super().__init__()
         self.vocabulary, self.library = vocabulary, library
+        self.unchecked: dict[str, tuple[str, str]] = {}
 
     def __missing__(self, unit: str) -> tuple[str, str]:
         v = self.vocabulary
@@ -197,19 +200,25 @@ class _Units(dict):
                 else:
                     found.append(self._keep(key, self.one(p)))
             value = ",".join([f[0] for f in found]), "".join([f[1] for f in found])
-        self.check(unit, value)
+        self.unchecked[unit] = value
         return self._keep(unit, value)
 
-    def check(self, unit: str, value: tuple[str, str]) -> None:
-        """Raises if the library encodes or decodes the unit otherwise."""
-        ids, plain = [int(i) for i in value[0].split(",")], value[1]
-        if unit:
-            same = ids == self.library.encode(unit) and plain == " " + self.library.decode(ids)
-        else:  # a mark alone is one text with the word before it
-            both = [*self.library.encode("a"), *ids]
-            same = both == self.library.encode("a ") and "a" + plain == self.library.decode(both)
-        if not same:
-            raise ValueError(f"sentencepiece encodes or decodes {unit[:200]!r} otherwise")
+    def check(self) -> None:
+        """Raises if the library encodes or decodes a unit that was encoded since otherwise: one
+        call of the library for all of them."""
+        found, self.unchecked = self.unchecked, {}
+        if "" in found:  # a mark alone is one text with the word before it
+            text, plain = found.pop("")
+            both = [*self.library.encode("a"), *map(int, text.split(","))]
+            if both != self.library.encode("a ") or "a" + plain != self.library.decode(both):
+                raise ValueError("sentencepiece encodes or decodes a mark otherwise")
+        if not found:
+            return
+        lists = self.library.encode(list(found), num_threads=1)
+        plains = self.library.decode(lists, num_threads=1)
+        for (unit, value), ids, plain in zip(found.items(), lists, plains):
+            if value != (",".join(map(str, ids)), " " + plain):
+                raise ValueError(f"sentencepiece encodes or decodes {unit[:200]!r} otherwise")
 
     def one(self, part: str) -> tuple[str, str]:
         v = self.vocabulary
@@ -248,20 +257,32 @@ class Encoder:
 
     def _uncached(self, unit: str) -> list[tuple[str, str]]:
         found = [self.units.one(p) for p in self.vocabulary.parted(MARK + unit)]
-        self.units.check(unit, (",".join([f[0] for f in found]), "".join([f[1] for f in found])))
+        self.units.unchecked[unit] = ",".join([f[0] for f in found]), "".join([f[1] for f in found])
         return found
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _ in self.parts(text) for i in ids.split(",")]
+        """The ids of a text, all of its new units checked."""
+        ids = self.ids(text).tolist()
+        self.units.check()
+        return ids
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of a text; the next check() looks at its new units."""
+        parts = self.parts(text)
+        if not parts:
+            return np.empty(0, np.int32)
+        return np.fromstring(",".join([p[0] for p in parts]), np.int32, sep=",")
 
     def decode(self, ids: list[int]) -> str:
         plain = self.vocabulary.plain(ids)
         return plain[1:] if plain[:1] == " " else plain
 
     def check(self, texts: list[str | None]) -> None:
-        """Raises if the library encodes or decodes every CHECK_EVERY-th text otherwise."""
+        """Raises if the library encodes or decodes a new unit, or every CHECK_EVERY-th text,
+        otherwise."""
+        self.units.check()
         for text in texts[::CHECK_EVERY]:
-            ids = self.encode(text)
+            ids = self.ids(text).tolist()
             if ids != self.library.encode(text or "") or self.decode(ids) != self.library.decode(ids):
                 raise ValueError(f"sentencepiece encodes or decodes {text[:200]!r} otherwise")
 
@@ -291,9 +312,12 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text: str = "tex
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(model)
         for batch in batches:
-            texts = batch.to_pylist()
-            yield pa.array([own.encode(t) for t in texts], pa.list_(pa.int32()))
-            own.check(texts)
+            found = []
+            for at in range(0, len(batch), TEXTS):
+                texts = batch.slice(at, TEXTS).to_pylist()
+                found.append(pa.array([own.ids(t) for t in texts], pa.list_(pa.int32())))
+                own.check(texts)
+            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(name, ids_of(F.col(text)))
 
@@ -306,9 +330,12 @@ def decode(frame: DataFrame, model_path: str, ids: str = "ids", name: str = "tex
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(model)
         for batch in batches:
-            lists = batch.to_pylist()
-            yield pa.array([None if x is None else own.decode(x) for x in lists], pa.string())
-            own.check_ids(lists)
+            found = []
+            for at in range(0, len(batch), TEXTS):
+                lists = batch.slice(at, TEXTS).to_pylist()
+                found.append(pa.array([None if x is None else own.decode(x) for x in lists], pa.string()))
+                own.check_ids(lists)
+            yield pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     return frame.withColumn(name, text_of(F.col(ids)))
 
@@ -332,7 +359,9 @@ def digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         own = encoder(model)
         for batch in batches:
             texts, rows = batch.to_pylist(), []
-            for t in texts:
+            for k, t in enumerate(texts, 1):
+                if k % TEXTS == 0:
+                    own.units.check()
                 parts = own.parts(t)
                 ids = ",".join([p[0] for p in parts])
                 plain = "".join([p[1] for p in parts])[1:]
