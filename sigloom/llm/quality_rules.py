@@ -4,11 +4,16 @@ Every document gets integer signals (in thousandths). Their values are counted p
 (lang, source, signal, bucket) on a grid of bounded relative error: exact up to 1,023, then the
 top ten bits. Such counts are a quantile sketch that merges by addition: they are combined
 before the shuffle, so that a hot source moves a few thousand rows at most, and the sketches of
-a language and of all documents are sums of those of its sources. An upper fence is the median
-plus six times the spread of the lower half (junk, being above the median, does not move it),
-and no less than a floor that ordinary prose stays below. It is taken from (lang, source), or,
-where fewer than ``MIN_DOCS`` documents are counted, from lang or from all documents, and joined
-to the documents; what lies above a fence goes.
+a language and of all documents are sums of those of its sources. Only documents that pass the
+base rule are counted, since only of these a fence decides.
+
+A sketch proposes the upper quartile plus ``SPREAD`` times the distance of the quartiles as a
+fence; where the values hardly differ, a small distance of its signal stands in. The corpus takes
+what its sketch proposes. A language, and then each of its sources, is pulled towards the fence
+above it as if ``PRIOR`` more documents had proposed that one; so a fence follows its own
+documents the more of them there are, without a step at any count. A proposal counts as ``LIFT``
+times the fence above it at most: a source that is mostly junk cannot lift its own fence far.
+Fences are joined to the documents; what lies above one goes.
 
 Defined results: null text has no words and fails; null lang and null source are groups of their
 own; equal rows are judged alike; an empty table gives an empty table; columns of the input keep
@@ -32,15 +37,16 @@ SYMBOLS = "#*$%&|<>"
 CONTRACT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (*CONTRACT, "n_lines", "n_upper", "n_letters")
 
-#: Signal: (numerator, denominator, floor of its fence in thousandths).
+#: Signal: (numerator, denominator, least distance of its quartiles in thousandths).
 SIGNALS = {
-    "symbols": ("n_symbols", "word_chars", 50),
-    "dup_lines": ("n_dup_lines", "n_lines", 500),
-    "repeats": ("n_repeat_words", "n_words", 500),
-    "upper": ("n_upper", "n_letters", 400),
+    "symbols": ("n_symbols", "word_chars", 4),
+    "dup_lines": ("n_dup_lines", "n_lines", 40),
+    "repeats": ("n_repeat_words", "n_words", 30),
+    "upper": ("n_upper", "n_letters", 4),
 }
-MIN_DOCS = 200
-SPREAD = 6
+SPREAD = 10
+PRIOR = 200
+LIFT = 2
 
 _fields = [pa.field(c, pa.int64()) for c in FEATURES]
 _upper = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
@@ -103,8 +109,13 @@ def _bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, bits), bits)
 
 
+def _base_failed(of: str) -> Column:
+    words, repeated = F.col(f"{of}.n_words"), F.col(f"{of}.n_repeat_words")
+    return (words < 50) | (100 * repeated > 50 * words)
+
+
 def sketches(featured: DataFrame, of: str) -> DataFrame:
-    """Counts (lang, source, signal, bucket, n) of the documents."""
+    """Counts (lang, source, signal, bucket, n) of the documents that pass the base rule."""
     values = F.explode(
         F.array(
             *[
@@ -114,13 +125,14 @@ def sketches(featured: DataFrame, of: str) -> DataFrame:
         )
     ).alias("v")
     return (
-        featured.select("lang", "source", values)
+        featured.where(~_base_failed(of))
+        .select("lang", "source", values)
         .groupBy("lang", "source", "v.signal", "v.bucket")
         .agg(F.count("*").alias("n"))
     )
 
 
-def _fences(counts: DataFrame, by: list[str]) -> DataFrame:
+def _proposals(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, one fence per signal): merges the sketches by ``by`` and reads their quartiles."""
     merged = counts.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "signal")
@@ -134,66 +146,74 @@ def _fences(counts: DataFrame, by: list[str]) -> DataFrame:
         )
 
     def fence(signal: str) -> Column:
-        q1, q2 = quantile(1, signal), quantile(2, signal)
-        return F.greatest(F.lit(SIGNALS[signal][2]), q2 + SPREAD * (q2 - q1)).cast("long")
+        q1, q3 = quantile(1, signal), quantile(3, signal)
+        return (q3 + SPREAD * F.greatest(q3 - q1, F.lit(SIGNALS[signal][2]))).cast("long")
 
     return ranked.groupBy(*by).agg(F.max("all").alias("n"), *[fence(s).alias(s) for s in SIGNALS])
 
 
-def thresholds(featured: DataFrame, of: str, min_docs: int = MIN_DOCS) -> DataFrame:
+def _pulled(n: Column, own: Column, above: Column, prior: int) -> Column:
+    """The fence of n documents that propose ``own``, under the fence ``above``."""
+    return F.floor((n * F.least(own, LIFT * above) + prior * above) / (n + prior))
+
+
+def thresholds(featured: DataFrame, of: str, prior: int = PRIOR) -> DataFrame:
     """(lang, source, a fence per signal) for every group of the documents."""
     counts = sketches(featured, of)
-    narrow = _fences(counts, ["lang", "source"]).alias("a")
-    lang = _fences(counts, ["lang"]).alias("b")
-    every = _fences(counts.withColumn("every", F.lit(1)), ["every"]).alias("c")
-    joined = narrow.join(lang, F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(
-        every, F.col("c.every") == F.lit(1)
+    every = _proposals(counts.withColumn("every", F.lit(1)), ["every"]).alias("c")
+    lang = (
+        _proposals(counts, ["lang"])
+        .alias("b")
+        .join(every, F.col("c.every") == F.lit(1))
+        .select(
+            "b.lang",
+            *[_pulled(F.col("b.n"), F.col(f"b.{s}"), F.col(f"c.{s}"), prior).alias(s) for s in SIGNALS],
+        )
+        .alias("l")
     )
-    return joined.select(
-        "a.lang",
-        "a.source",
-        *[
-            F.when(F.col("a.n") >= min_docs, F.col(f"a.{s}"))
-            .when(F.col("b.n") >= min_docs, F.col(f"b.{s}"))
-            .otherwise(F.col(f"c.{s}"))
-            .alias(s)
-            for s in SIGNALS
-        ],
+    return (
+        _proposals(counts, ["lang", "source"])
+        .alias("a")
+        .join(lang, F.col("a.lang").eqNullSafe(F.col("l.lang")))
+        .select(
+            "a.lang",
+            "a.source",
+            *[_pulled(F.col("a.n"), F.col(f"a.{s}"), F.col(f"l.{s}"), prior).alias(s) for s in SIGNALS],
+        )
     )
 
 
-def judge(featured: DataFrame, of: str, name: str, min_docs: int = MIN_DOCS) -> DataFrame:
+def judge(featured: DataFrame, of: str, name: str, prior: int = PRIOR) -> DataFrame:
     """Adds struct ``name``: base_failed and kept. ``featured`` is written once to the shared
     folder, as both the sketches and the verdicts read it."""
     held = stored(featured.sparkSession, featured, "quality")
-    fences = thresholds(held, of, min_docs).alias("f")
+    fences = thresholds(held, of, prior).alias("f")
     d = held.alias("d")
-    base = (F.col(f"d.{of}.n_words") < 50) | (
-        100 * F.col(f"d.{of}.n_repeat_words") > 50 * F.col(f"d.{of}.n_words")
-    )
+    base = _base_failed(f"d.{of}")
     fine = F.lit(True)
     for s in SIGNALS:
-        fine = fine & (_signal(s, f"d.{of}") <= F.coalesce(F.col(f"f.{s}"), F.lit(SIGNALS[s][2])))
+        fine = fine & (_signal(s, f"d.{of}") <= F.col(f"f.{s}"))
     same = F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(
         F.col("f.source")
     )
-    verdict = F.struct(base.alias("base_failed"), (~base & fine).alias("kept"))
+    # A group without fences has no document that passes the base rule.
+    verdict = F.struct(base.alias("base_failed"), (~base & F.coalesce(fine, F.lit(True))).alias("kept"))
     return d.join(fences, same, "left").select("d.*", verdict.alias(name))
 
 
-def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The documents that pass, with the columns of docs."""
     of = free_name(docs.columns, "features")
     name = free_name([*docs.columns, of], "verdict")
-    judged = judge(with_features(docs, of), of, name, min_docs)
+    judged = judge(with_features(docs, of), of, name, prior)
     return judged.where(F.col(f"{name}.kept")).select(*docs.columns)
 
 
-def report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def report(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the measured features, base_failed and kept of every document."""
     plain = docs.select("doc_id", "lang", "source", "text")
     featured = with_features(plain, "features").drop("text")
-    judged = judge(featured, "features", "verdict", min_docs)
+    judged = judge(featured, "features", "verdict", prior)
     return judged.select("doc_id", *[f"features.{c}" for c in CONTRACT], "verdict.*")
 
 
@@ -224,31 +244,33 @@ f AS (
 s AS (
   SELECT *, {", ".join(f"CASE WHEN {b} > 0 THEN {a} * 1000 // {b} ELSE 0 END AS {s}" for s, (a, b, _) in SIGNALS.items())}
   FROM f),
-u AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS v FROM s" for s in SIGNALS)}),
+ok AS (SELECT * FROM s WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)),
+u AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {v[2]} AS least, {s} AS v FROM ok" for s, v in SIGNALS.items())}),
 lv AS (
-  SELECT 1 AS lvl, lang, source, signal, v FROM u UNION ALL
-  SELECT 2, lang, NULL, signal, v FROM u UNION ALL SELECT 3, NULL, NULL, signal, v FROM u),
+  SELECT 1 AS lvl, lang, source, signal, least, v FROM u UNION ALL
+  SELECT 2, lang, NULL, signal, least, v FROM u UNION ALL
+  SELECT 3, NULL, NULL, signal, least, v FROM u),
 r AS (
-  SELECT lvl, lang, source, signal, v, row_number() OVER (
-      PARTITION BY lvl, lang, source, signal ORDER BY v) AS i,
+  SELECT *, row_number() OVER (PARTITION BY lvl, lang, source, signal ORDER BY v) AS i,
     count(*) OVER (PARTITION BY lvl, lang, source, signal) AS n FROM lv),
 q AS (
-  SELECT lvl, lang, source, signal, max(n) AS n, min(v) FILTER (4 * i >= n) AS q1,
-    min(v) FILTER (4 * i >= 2 * n) AS q2 FROM r GROUP BY ALL),
+  SELECT lvl, lang, source, signal, max(n) AS n, min(v) FILTER (4 * i >= 3 * n)
+    + {SPREAD} * greatest(min(v) FILTER (4 * i >= 3 * n) - min(v) FILTER (4 * i >= n), max(least)) AS own
+  FROM r GROUP BY lvl, lang, source, signal),
+l AS (
+  SELECT b.lang, b.signal,
+    (b.n * least(b.own, {LIFT} * c.own) + {PRIOR} * c.own) // (b.n + {PRIOR}) AS fence
+  FROM q b JOIN q c ON b.lvl = 2 AND c.lvl = 3 AND b.signal = c.signal),
 g AS (
   SELECT a.lang, a.source, a.signal,
-    CASE WHEN a.n >= {MIN_DOCS} THEN a.q2 + {SPREAD} * (a.q2 - a.q1)
-      WHEN b.n >= {MIN_DOCS} THEN b.q2 + {SPREAD} * (b.q2 - b.q1)
-      ELSE c.q2 + {SPREAD} * (c.q2 - c.q1) END AS fence
-  FROM q a JOIN q b ON a.lvl = 1 AND b.lvl = 2 AND a.signal = b.signal
-    AND a.lang IS NOT DISTINCT FROM b.lang
-  JOIN q c ON c.lvl = 3 AND c.signal = a.signal),
+    (a.n * least(a.own, {LIFT} * l.fence) + {PRIOR} * l.fence) // (a.n + {PRIOR}) AS fence
+  FROM q a JOIN l ON a.lvl = 1 AND a.signal = l.signal AND a.lang IS NOT DISTINCT FROM l.lang),
 p AS (
-  SELECT lang, source, {", ".join(f"greatest({v[2]}, max(fence) FILTER (signal = '{s}')) AS f_{s}" for s, v in SIGNALS.items())}
+  SELECT lang, source, {", ".join(f"max(fence) FILTER (signal = '{s}') AS f_{s}" for s in SIGNALS)}
   FROM g GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-    AND {" AND ".join(f"{s} <= f_{s}" for s in SIGNALS)} AS kept
-FROM s JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source
+    AND coalesce({" AND ".join(f"{s} <= f_{s}" for s in SIGNALS)}, true) AS kept
+FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source
 """

@@ -58,33 +58,31 @@ def component_ids(rows, size, percent):
     return [min(least[find(i)]) for i in range(len(rows))]
 
 
-def quality(rows, min_docs):
+def quality(rows, prior):
     """rows: (lang, source, text); (features, base_failed, kept) per row."""
     measured = [dict(zip(qr.FEATURES, qr.measure(t))) for *_, t in rows]
     values = [
         {s: (1000 * f[a] // f[b] if f[b] else 0) for s, (a, b, _) in qr.SIGNALS.items()}
         for f in measured
     ]
+    base = [f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"] for f in measured]
 
-    def fence(signal, chosen):
-        v = sorted(values[i][signal] for i in chosen)
-        q1, q2 = v[(len(v) + 3) // 4 - 1], v[(2 * len(v) + 3) // 4 - 1]
-        return max(qr.SIGNALS[signal][2], q2 + qr.SPREAD * (q2 - q1))
-
-    out = []
-    for (lang, source, _), f, v in zip(rows, measured, values):
-        every = range(len(rows))
-        for chosen in (
-            [i for i in every if rows[i][:2] == (lang, source)],
-            [i for i in every if rows[i][0] == lang],
-            list(every),
-        ):
-            if len(chosen) >= min_docs:
-                break
-        base = f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"]
-        fine = all(v[s] <= fence(s, chosen) for s in qr.SIGNALS)
-        out.append((f, base, fine and not base))
-    return out
+    def fence(signal, *group):
+        """group: nothing, lang, or lang and source."""
+        v = sorted(
+            x[signal] for x, r, b in zip(values, rows, base) if not b and r[: len(group)] == group
+        )
+        q1, q3 = v[(len(v) + 3) // 4 - 1], v[(3 * len(v) + 3) // 4 - 1]
+        own = q3 + qr.SPREAD * max(q3 - q1, qr.SIGNALS[signal][2])
+        if not group:
+            return own
+        above = fence(signal, *group[:-1])
+        return (len(v) * min(own, qr.LIFT * above) + prior * above) // (len(v) + prior)
+
+    return [
+        (f, b, not b and all(v[s] <= fence(s, lang, source) for s in qr.SIGNALS))
+        for (lang, source, _), f, v, b in zip(rows, measured, values, base)
+    ]
 
 
 def item_words(text):

@@ -132,18 +132,28 @@ def test_components(spark):
 
 def test_quality_equals_plain_version(docs):
     rows = documents()
-    plain = brute.quality([(r[2], r[3], r[1]) for r in rows], min_docs=8)
+    plain = brute.quality([(r[2], r[3], r[1]) for r in rows], prior=8)
     expected = sorted(
         (r[0], *[f[c] for c in quality_rules.CONTRACT], base, kept)
         for r, (f, base, kept) in zip(rows, plain)
     )
-    assert sorted(map(tuple, quality_rules.report(docs, min_docs=8).collect())) == expected
+    assert sorted(map(tuple, quality_rules.report(docs, prior=8).collect())) == expected
     kept = [r[0] for r, p in zip(rows, plain) if p[2]]
-    found = quality_rules.keep_good(docs.withColumn("Features", docs.doc_id), min_docs=8)
+    found = quality_rules.keep_good(docs.withColumn("Features", docs.doc_id), prior=8)
     assert sorted(r["doc_id"] for r in found.collect()) == sorted(kept)
     assert found.columns == [*docs.columns, "Features"]
 
 
+def test_fences_follow_the_documents():
+    """A junk source does not lift its fence far, and a strict one lowers its own."""
+    rng = random.Random(5)
+    calm = [("en", "calm", prose(rng, 80)) for _ in range(90)]
+    loud = [("en", "loud", " ".join(f"w{rng.randrange(400)}A#" for _ in range(80))) for _ in range(20)]
+    odd = [("en", "calm", prose(rng, 80) + " " + "Upper Case Words Here Too " * 2)]
+    verdicts = [kept for *_, kept in brute.quality([*calm, *loud, *odd], 20)]
+    assert all(verdicts[:90]) and not any(verdicts[90:])
+
+
 def test_measures():
     m = dict(zip(quality_rules.FEATURES, quality_rules.measure("a b c\x0b a b c\n\n a b c\n#$ x y\n#$ x y")))
     assert m["n_words"] == 13 and m["n_dup_lines"] == 1 and m["n_symbols"] == 4
