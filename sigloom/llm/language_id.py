@@ -17,12 +17,12 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +36,9 @@ LONGEST = 5
 SMOOTH = 0.5
 UNKNOWN = "und"
 
-_word = re.compile(r"[^\W\d_]+")
+LETTERS = r"\p{L}+"  # the same letters where words are counted and where they are predicted
+
+_word = regex.compile(LETTERS)
 
 
 def labelled(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -128,7 +130,7 @@ def _logs(entries: list, langs: list[str], totals: dict[str, int]) -> tuple[dict
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """A model of the labelled documents; counted by Spark, and bounded as said above."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({LETTERS})"), F.lit(1))
     counted = (
         labelled(docs, max_docs)
         .select("lang", F.explode(words).alias("entry"))

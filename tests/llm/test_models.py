@@ -136,12 +136,14 @@ def test_languages(spark):
     rows = [(i, " ".join(rng.choices(words[l], k=20)), l) for i, l in enumerate(["aa", "bb"] * 60)]
     rows += [(500, None, "aa"), (501, "12 34!", "aa"), (502, "", None), (503, "tili bili", None)]
     rows += [(504, "balamara", None), (None, "kala kala", "aa"), (505, "щщщ", None)]
+    rows += [(600 + i, t, None) for i, t in enumerate(["½", "² ①", "Ⅷ", "٣_", "½²①Ⅷ"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r["doc_id"]: r for r in language_id.report(docs).collect()}
     assert all(found[i]["lang_pred"] == l for i, _, l in rows[:120])
     assert all(found[i]["held_out"] == held(i) for i, *_ in rows[:120])
     assert [found[i]["lang_pred"] for i in (500, 501, 502, 503, 504, None)] == ["und", "und", "und", "bb", "aa", "aa"]
     assert found[505]["lang_pred"] in ("aa", "bb")
+    assert all(found[i]["lang_pred"] == "und" and found[i]["score"] == 0 for i in range(600, 605))
     assert all(0 <= r["score"] <= 1 for r in found.values())
     nothing = docs.limit(0)
     assert language_id.report(nothing).count() == 0
