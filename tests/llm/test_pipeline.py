@@ -18,6 +18,7 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
     texts += [texts[0], texts[1].replace("w1 ", "w2 ", 1), texts[2] + " and one more"]
     texts += [None, "", "too short", prose(rng, 60) + " ### $$$ %%% &&&" * 40, "LOUD " + " ".join(f"X{i}A" for i in range(90))]
     texts += [prose(rng, 80) + " " + ITEMS[1][1].upper() + " " + prose(rng, 80)]
+    texts += [prose(rng, 80) + " " + ITEMS[1][1] + " " + prose(rng, 80)]  # the one above is too loud
     rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
