@@ -95,9 +95,10 @@ class Bands:
             if k:  # with k = 0, only equal sets are similar, and they are one class
                 parts = k // 2 + 1 + 2 * round(SPARE * k)
                 # Two similar sets differ in (1 - t)/(1 + t) of their sizes together at most. Half
-                # of what is then spared is left out by each, by its own size.
+                # of what is then spared is left out by each, by its own size; nothing, if that is
+                # less than nothing, as k is rounded down.
                 spared = (parts - 1) * (100 + self.percent) - (100 - self.percent) * size
-                found.append((b, parts, spared // (2 * (100 + self.percent))))
+                found.append((b, parts, max(0, spared // (2 * (100 + self.percent)))))
         return tuple(found)
 
 

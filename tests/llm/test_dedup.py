@@ -86,6 +86,22 @@ def test_links_equal_plain_version(docs):
     assert sorted(map(tuple, ngram_join.report(docs).collect())) == expected
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_similar_sets_share_a_signature(percent):
+    """Every two sizes and numbers of shared members that just meet the threshold."""
+    rng, bands = np.random.default_rng(percent), ngram_join.Bands(percent)
+    members = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    for n in (*range(1, 90), 120, 150):
+        for m in range(n, 100 * n // percent + 1):
+            shared = -(-percent * (n + m) // (100 + percent))
+            if shared > n or shared == n == m:
+                continue
+            drawn = rng.permutation(members)[: n + m - shared]
+            a, b = drawn[:n], np.concatenate([drawn[:shared], drawn[n:]])
+            found = [ngram_join.signatures(np.sort(own), bands) for own in (a, b)]
+            assert np.intersect1d(*found).size, (n, m)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_chains_of_near_copies(spark, seed):
     """Links that are not transitive, many sizes, and pairs that only share a signature."""
