@@ -290,3 +290,26 @@ def test_load_reports_all_problems(spark):
     with pytest.raises(ArgumentError) as error:
         load(spark, multiplicity=0, storage_level="MEMORY_ONLY_1")
     assert len(error.value.problems) == 5
+
+
+def test_gene_major_rows_are_not_sorted(spark, db, tmp_path):
+    """Lists of ranks are sorted, not a row with an id for each gene; vectors may differ in length."""
+    from sigloom.sources.layouts import gene_major_by_gene
+
+    short = db.limit(1).select(F.lit("Z").alias("id"), *db.columns[1:]).withColumn(
+        "profile", F.col("profile").withField("r", F.array(F.lit(7.0)))
+    )
+    both = db.unionByName(short).coalesce(1)
+    rows = gene_major_by_gene(both)
+    assert rows.exceptAll(gene_major(both)).count() == 0
+    assert gene_major(both).exceptAll(rows).count() == 0
+    found = [r.idx for r in rows.collect()]
+    assert found == sorted(found)
+
+
+def test_rows_in_order_are_not_moved(spark, db, genes, tmp_path):
+    write_db(db.coalesce(1).sortWithinPartitions("id"), f"{tmp_path}/wide", in_order=True)
+    assert spark.read.parquet(f"{tmp_path}/wide").count() == db.count()
+    assert spark.read.parquet(f"{tmp_path}/wide").rdd.getNumPartitions() == 1
+    with pytest.raises(ArgumentError):
+        write_db(db, f"{tmp_path}/ranks", layout="gene_major", in_order=True)
