@@ -313,3 +313,15 @@ def test_rows_in_order_are_not_moved(spark, db, genes, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/wide").rdd.getNumPartitions() == 1
     with pytest.raises(ArgumentError):
         write_db(db, f"{tmp_path}/ranks", layout="gene_major", in_order=True)
+
+
+def test_build_db_leaves_rows_that_are_parted_by_id_in_place(unranked):
+    rows = unranked.repartition(4, "id")
+    t, p = (
+        rows.filter(F.col(f"profile.{k}").isNotNull()).select("id", F.col(f"profile.{k}").alias("values"))
+        for k in ("t", "p")
+    )
+    relations = rows.select("id", F.col("trt.id").alias("trt_id"))
+    plan = build_db(t, p, relations)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "hashpartitioning(" in line and "REPARTITION_BY" not in line]
+    assert len(moved) <= 2  # of ids alone, to find those without a relation
