@@ -89,3 +89,51 @@ def test_signatures_by_selection(wide_values, monkeypatch):
     assert len(expected) > 5
     with pytest.raises(ValueError, match="lack the column id"):
         generate.generate_signature(db, genes, samples.withColumnRenamed("id", "name"))
+
+
+@pytest.mark.parametrize("buffer", [1, 40, 10_000])
+@pytest.mark.parametrize("chunk", [1, 4_000_000])
+def test_medians_of_vectors_are_exact(spark, monkeypatch, buffer, chunk):
+    monkeypatch.setattr(medians, "CHUNK", chunk)
+    own = [values for _, values in groups()] + [[]]
+    rng = random.Random(2)
+    rows = []
+    for k in range(max(map(len, own))):
+        t = [values[k] if k < len(values) else None for values in own]
+        # The second column has shorter, longer and no vectors.
+        rows.append((t, rng.choice([None, t[:3], [*t, 5.0], t])))
+    frame = spark.createDataFrame(rows, "t array<double>, p array<double>").repartition(3)
+    found = {r["index"]: r for r in medians.vector_medians(frame, len(own), buffer).collect()}
+    assert sorted(found) == list(range(1, len(own)))
+    for column in (0, 1):
+        for index, row in found.items():
+            values = [r[column][index - 1] for r in rows if r[column] is not None and len(r[column]) >= index]
+            values = [x for x in values if x is not None]
+            median = row["tp"[column]]
+            if not values:
+                assert median is None
+            else:
+                assert median == plain(values) or math.isnan(median) and math.isnan(plain(values)), index
+    assert medians.vector_medians(frame.limit(0), len(own)).collect() == []
+
+
+def test_many_samples_are_not_made_into_rows(spark, wide_values, monkeypatch):
+    """Neither a row for each value nor a join: vectors go to the tasks as they are."""
+    db, genes = wide_values
+    taken = []
+    real = medians.vector_medians
+
+    def watched(vectors, length):
+        taken.append(vectors._jdf.queryExecution().executedPlan().toString())
+        return real(vectors, length)
+
+    monkeypatch.setattr(medians, "BUFFER", 7)
+    monkeypatch.setattr(medians, "vector_medians", watched)
+    cells = sorted(r.cell for r in db.select("cell").distinct().collect() if r.cell)
+    ids = [r.id for r in db.filter(F.col("cell") == cells[0]).collect()]
+    by_filter = generate.generate_signature(db, genes, pvalue=1.0, filters={"cell": cells[:1]}).collect()
+    assert len(taken) == 1 and "Join" not in taken[0] and "Generate" not in taken[0]
+    monkeypatch.setattr(medians, "BUFFER", 10_000)
+    assert generate.generate_signature(db, genes, ids, 1.0).collect() == by_filter
+    with pytest.raises(ValueError):
+        generate.generate_signature(db, genes)
