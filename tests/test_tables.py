@@ -1,6 +1,9 @@
 """How the queries' tables are derived from the given ones."""
 
-from workload import tables
+import pytest
+from pyspark.sql import functions as F
+
+from workload import queries, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -37,3 +40,34 @@ def test_targets_of_words_of_any_number(spark):
     )
     found = [r.names for r in rows.select(tables._target_names("words").alias("names")).collect()]
     assert found == [["GENE01", "GENE64", "GENE66"], None, ["GENE129"]]
+
+
+@pytest.mark.parametrize("name", ["top_table_head", "binned_zhang", "filter_values", "zhang_score_nations"])
+def test_targets_are_made_for_queries_that_show_them(spark, name):
+    """A profile that an expression above the join makes kept the columns from being merged."""
+    assert "getbit" not in physical(queries.QUERIES[name](spark, SF_DIR))
+
+
+def test_targets_are_made_once_for_each_part(spark):
+    """What makes the names stands below the join with the line items."""
+    text = physical(queries.annotated_ids_without_signature(spark, SF_DIR))
+    makes = [line for line in text.splitlines() if "getbit" in line]
+    assert makes and not any("l_orderkey" in line or "number" in line for line in makes)
+
+
+def test_profiles_in_three_forms(spark):
+    """Profiles are whole, without p or absent by the number of the line, as an expression has them."""
+    rows = tables.described(spark, SF_DIR)
+    numbers = rows.select("id", "number", "l_partkey")
+    vectors = tables.vectors(spark, SF_DIR)
+    n = vectors.agg(F.max("vec_id") + 1).first()[0]
+    own = F.struct(
+        "profile.t", F.when(F.col("number") % 40 != 39, F.col("profile.p")).alias("p"), "profile.r"
+    )
+    expected = numbers.join(vectors, F.col("number") % n == F.col("vec_id")).select(
+        "id", F.when(F.col("number") % 50 != 49, own).alias("profile")
+    )
+    for named in (False, True):
+        found = tables.with_vectors(tables.described(spark, SF_DIR, named), vectors).select("id", "profile")
+        assert found.exceptAll(expected).isEmpty() and found.count() == expected.count()
+    assert expected.filter("profile IS NULL").count() and expected.filter("profile.t IS NOT NULL AND profile.p IS NULL").count()
