@@ -71,3 +71,14 @@ def test_profiles_in_three_forms(spark):
         found = tables.with_vectors(tables.described(spark, SF_DIR, named), vectors).select("id", "profile")
         assert found.exceptAll(expected).isEmpty() and found.count() == expected.count()
     assert expected.filter("profile IS NULL").count() and expected.filter("profile.t IS NOT NULL AND profile.p IS NULL").count()
+
+
+def test_stored_rows_lie_in_order_of_their_vectors(spark):
+    """Every row is kept, and each task has equal vectors next to each other, without a shuffle more."""
+    rows = tables.described(spark, SF_DIR, named=True)
+    ordered = tables.by_vector(spark, SF_DIR, rows)
+    n = tables.vectors(spark, SF_DIR).agg(F.max("vec_id") + 1).first()[0]
+    parts = [[number % n for number in part] for part in ordered.rdd.map(lambda r: r.number).glom().collect()]
+    assert all(part == sorted(part) for part in parts) and any(len(set(part)) < len(part) for part in parts)
+    assert ordered.exceptAll(rows).isEmpty() and ordered.count() == rows.count()
+    assert "hashpartitioning(l_" in physical(ordered) and "rangepartitioning" not in physical(ordered)
