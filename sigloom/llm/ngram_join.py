@@ -19,8 +19,9 @@ Then the least class of each signature is compared with the others; sizes and sk
 pairs out, and exact intersections of the sets decide the rest.
 The least class then leaves its signature, and where different components still meet on it, the
 next least class is compared with those of other components, and so on; only what is left after
-STARS rounds is compared pair by pair, where sizes and parities of the sets allow. Pairs inside a
-component cannot change it.
+STARS rounds is compared pair by pair, where sizes and parities of the sets allow; of the signatures
+that a pair shares, it is listed on the least, if that is among the FIRST least of both. Pairs inside
+a component cannot change it.
 
 Defined results: null or empty text, or text without words, has an empty set and is linked with
 nothing; texts with fewer words than a shingle have one shingle, all their words; equal texts are
@@ -53,6 +54,7 @@ SETS = 500  # sets of an Arrow batch
 PARITY = 8  # words of 64 bits: whether a part of the hash domain has an odd number of members
 LEADS = 2  # rounds in which each class is compared with one centre
 STARS = 3  # centres of a signature that are compared before what is left is listed in pairs
+FIRST = 32  # least signatures of a class by which a pair is listed once, not on each that it shares
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -347,6 +349,26 @@ def _outer(rows: DataFrame) -> DataFrame:
     return rows.join(outer.select("signature"), "signature", "left_semi")
 
 
+def _left_pairs(rows: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes of different components that meet on a signature of the rows
+    (signature, class, root) and can be similar by sizes and parities.
+
+    A pair that shares some of the FIRST least signatures of both is listed on the least of those
+    only; another one is listed on each signature that it shares.
+    """
+    firsts = rows.groupBy("class").agg(
+        F.slice(F.sort_array(F.collect_list("signature")), 1, FIRST).alias("firsts")
+    )
+    marked = rows.join(forms.select("class", "n", "parity"), "class").join(firsts, "class")
+    a, b = marked.alias("a"), marked.alias("b")
+    apart = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.root") < F.col("b.root"))
+    least = F.array_min(F.array_intersect("a.firsts", "b.firsts"))
+    here = F.coalesce(least == F.col("a.signature"), F.lit(True))
+    return a.join(b, apart & _not_far("a", "b", percent) & here).select(
+        F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b")
+    )
+
+
 def linked(
     docs: DataFrame, size: int = 4, percent: int = 85, also: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -415,12 +437,7 @@ def linked(
             )
             rest = with_centre.where(F.col("class") != F.col("centre.class")).select(*open_.columns)
         else:  # few signatures are left: all pairs of their components that can be similar
-            marked = open_.join(forms.select("class", "n", "parity"), "class")
-            a, b = marked.alias("a"), marked.alias("b")
-            apart = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.root") < F.col("b.root"))
-            pairs = a.join(b, apart & _not_far("a", "b", percent)).select(
-                F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b")
-            )
+            pairs = _left_pairs(open_, forms, percent)
             rest = open_.limit(0)
         links = verifier.links(pairs.distinct())
         if links.head(1):

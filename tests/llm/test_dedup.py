@@ -120,6 +120,17 @@ def test_chains_of_near_copies(spark, seed):
     assert len(set(found.values())) < len(rows) - 10
 
 
+def test_pairs_that_share_many_signatures_are_listed_once(spark):
+    meets = [(s, c, c) for c in range(40) for s in (range(20) if c < 30 else range(c, c + 80))]
+    rows = spark.createDataFrame(meets, "signature long, class long, root long")
+    forms = spark.createDataFrame(
+        [(c, 100, [0] * ngram_join.PARITY) for c in range(40)], "class long, n long, parity array<long>"
+    )
+    found = [tuple(r) for r in ngram_join._left_pairs(rows, forms, 85).collect()]
+    plain = {(a, b) for s, a, _ in meets for t, b, _ in meets if s == t and a < b}
+    assert set(found) == plain and len(found) == len(plain)
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"q{i}" for i in range(200))
     rows = [(3, text, 1), (1, text + " z", 2), (2, "other words here", 3), (None, text, 4), (5, None, 5), (6, "", 6)]
