@@ -67,6 +67,29 @@ def test_repeats_equal_plain_version(docs, monkeypatch, hot):
     assert sum(e[2] > 0 for e in expected) > 8
 
 
+def test_windows_around_a_common_passage_make_no_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = prose(rng, 60)[:240]
+    texts = [prose(rng, 150) + " " + passage + " " + prose(rng, 150) for _ in range(60)]
+    texts += [texts[0][90:], texts[1][:-80]]
+    made = []
+
+    def counted(pieces, runs=suffix_dedup.shard_runs):
+        made.append(runs(pieces).count())
+        return runs(pieces)
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    monkeypatch.setattr(suffix_dedup, "shard_runs", counted)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in suffix_dedup.report(frame).collect()}
+    plain = brute.repeated_bytes(texts, 400)
+    assert all(
+        (found[i]["n_removed"], found[i]["n_spans"], found[i]["kept_sha256"]) == (gone, runs, brute.sha(kept))
+        for i, (kept, gone, runs) in enumerate(plain)
+    )
+    assert found[0]["n_removed"] and made[0] < 40
+
+
 def test_repeats_are_cut_from_texts_and_columns_kept(spark):
     text = "é" * 200 + "-" + "x" * 10
     rows = [(1, text, 5, 9), (2, "b" + text, 6, 9), (None, None, 7, 9), (4, "short", 8, 9)]
