@@ -33,12 +33,23 @@ def _towards_least(edges: DataFrame, larger: bool) -> DataFrame:
     )
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each greater end of the edges (a > b) has one edge and is no lesser end: the lesser
+    ends are the least nodes of their components then."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.where("up > 1 OR up = 1 AND down = 1").head(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b): root is the least node of its component.
 
     Alternating stars end after a number of rounds that grows with the logarithm of the number
-    of nodes. Each round is written to the shared folder; the groups of a node are only reduced
-    to their least member, never collected.
+    of nodes, as soon as all that is left are stars: no round is spent on seeing that nothing
+    changes. Each round is written to the shared folder; the groups of a node are only reduced to
+    their least member, never collected.
     """
     spark = edges.sparkSession
     now = stored(
@@ -49,19 +60,11 @@ def components(edges: DataFrame) -> DataFrame:
         "edges",
     )
 
-    def state(frame: DataFrame) -> tuple:
-        return tuple(frame.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).collect()[0])
-
-    before = state(now)
-    while True:
+    while not _are_stars(now):
         last, now = now, stored(
             spark, _towards_least(_towards_least(now, larger=True), larger=False), "edges"
         )
         discard(last)
-        after = state(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -45,9 +45,8 @@ from sigloom.llm.common import discard, stored
 from sigloom.llm.components import components
 from sigloom.llm.hashing import between, mixed, prefixes
 
-BROADCAST_IDS = 2_000_000  # 16 MB
+BROADCAST_IDS = 200_000  # 1.6 MB; the driver holds several times that for each broadcast
 SKETCH = 128  # bytes: members of a set by 128 parts of the hash domain, up to 254 each
-BROADCAST_SKETCHES = 400_000  # 64 MB
 SPARE = 0.05  # parts to spare for signatures left out, in differing members of a band
 SLICE = 200_000  # signature rows of an Arrow batch
 SETS = 500  # sets of an Arrow batch
@@ -269,17 +268,19 @@ def _at_most(percent: int):
 
 
 def possible(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out: no set is read yet."""
+    """The pairs (a, b) that sizes and sketches do not rule out: no set is read yet.
+
+    The sketches are shuffled to the pairs: broadcast, they would pass through the driver, where a
+    table of them took more memory than all else, twice in each round.
+    """
     left, right = (
         forms.select(
             F.col("class").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}")
         )
         for c in ("a", "b")
     )
-    if forms.count() <= BROADCAST_SKETCHES:
-        left, right = F.broadcast(left), F.broadcast(right)
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    joined = pairs.join(left, "a").join(right, "b").where(near)
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(near)
     return joined.where(_at_most(percent)("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b")
 
 
@@ -438,13 +439,17 @@ def linked(
             rest = with_centre.where(F.col("class") != F.col("centre.class")).select(*open_.columns)
         else:  # few signatures are left: all pairs of their components that can be similar
             pairs = _left_pairs(open_, forms, percent)
-            rest = open_.limit(0)
+            rest = None
         links = verifier.links(pairs.distinct())
-        if links.head(1):
+        found = bool(links.head(1))
+        if found:
             ends = [roots.select(F.col("class").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
             edges = links.join(ends[0], "a").join(ends[1], "b")
             moves = components(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
             roots = stored(spark, _rerooted(roots, moves), "roots")
+        if rest is None:
+            break
+        if found:
             rest = _rerooted(rest, moves)
         before, meeting = open_, stored(spark, _still_meeting(rest), "meeting")
         open_ = stored(spark, _outer(meeting), "open")

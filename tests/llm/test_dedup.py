@@ -180,6 +180,27 @@ def test_components(spark):
     assert {found[n] for n in range(100, 141)} == {100}
 
 
+def test_sketches_do_not_pass_through_the_driver(spark):
+    sets = [np.arange(20, dtype=np.uint64), np.arange(1, 21, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
+    rows = [(i, len(s), bytearray(ngram_join.sketch(s))) for i, s in enumerate(sets)]
+    forms = spark.createDataFrame(rows, "class long, n long, sketch binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    found = ngram_join.possible(pairs, forms, 85)
+    assert [tuple(r) for r in found.collect()] == [(0, 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    rounds = []
+    step = components._towards_least
+    monkeypatch.setattr(components, "_towards_least", lambda *a, **k: rounds.append(1) or step(*a, **k))
+    for edges, most in (([(1, 2), (1, 3), (4, 9)], 0), ([(1, 2), (2, 3), (4, 9)], 2)):
+        rounds.clear()
+        found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r["node"]: r["root"] for r in found} == {1: 1, 2: 1, 3: 1, 4: 4, 9: 4}
+        assert len(rounds) <= most
+
+
 def test_quality_equals_plain_version(docs):
     rows = documents()
     plain = brute.quality([(r[2], r[3], r[1]) for r in rows], prior=8)
