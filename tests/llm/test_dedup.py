@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sigloom.llm import components, decontaminate, ngram_join, quality_rules, suffix_array
 from sigloom.llm import suffix_dedup
@@ -90,6 +91,26 @@ def test_windows_around_a_common_passage_make_no_rows(spark, monkeypatch):
     assert found[0]["n_removed"] and made[0] < 40
 
 
+def test_rows_of_a_very_common_segment_meet_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPREAD", 2)
+    many = spark.createDataFrame([(i, 0, 7 if i < 60 else i) for i in range(80)], "doc_id long, first int, segment long")
+    one = spark.createDataFrame([(7, "a"), (61, "b"), (200, "c")], "segment long, spans string")
+    often = many.groupBy("segment").count().withColumnRenamed("count", "n")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = suffix_dedup._spread(many, one, "segment", often).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r["doc_id"], r["spans"]) for r in rows) == [*[(i, "a") for i in range(60)], (61, "b")]
+    assert len({r["p"] for r in rows if r["segment"] == 7}) > 1
+    texts = ["x" * 500 + "y" * i for i in range(9)] + ["q" * 450] * 9 + ["short", None]
+    found = suffix_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ours = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in found.collect()}
+    monkeypatch.setattr(suffix_dedup, "SPREAD", 10_000)
+    found = suffix_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert ours == {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in found.collect()}
+
+
 def test_repeats_are_cut_from_texts_and_columns_kept(spark):
     text = "é" * 200 + "-" + "x" * 10
     rows = [(1, text, 5, 9), (2, "b" + text, 6, 9), (None, None, 7, 9), (4, "short", 8, 9)]
