@@ -3,7 +3,7 @@
 A text starts with a space mark and has each space replaced by one. No piece of such a vocabulary
 goes on past the start of a new run of marks (``Vocabulary`` checks this), so a text falls into
 units, each a run of marks and what follows it. A unit's adjacent symbol pairs that form a piece
-stand on an agenda ordered by score, then by place; the best pair is merged and its new
+stand on an agenda ordered by score, then by place (a heap; for short units a list by place); the best pair is merged and its new
 neighbours join the agenda until none is left. Symbols outside the vocabulary become their UTF-8
 bytes. Two characters that stand side by side in no piece part a unit further ("word" and ","),
 and these parts are remembered up to a bound, as words recur. The sentencepiece library encodes
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-REMEMBERED = 400_000  # units and parts for each Python worker
+REMEMBERED = 300_000  # units and parts for each Python worker, and as many that came before them
 LONGEST = 48  # characters of a unit that is remembered
+SHORT = 32  # characters up to which the agenda is a list in order of place
 CHECK_EVERY = 64
 TEXTS = 256  # texts whose ids are Python objects at a time, and whose new units are checked together
 
 _NORMAL, _BYTE = 1, 6
+_NEVER = float("inf")  # the score of a pair that is no piece
 _unit = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -120,6 +122,38 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[int]:
         """Ids of one unit by the agenda."""
+        symbols = self._merged(text) if len(text) <= SHORT else self._merged_long(text)
+        found: list[int] = []
+        for s in symbols:
+            at = self.ids.get(s)
+            if at is None:
+                found += [self.byte_ids[b] for b in s.encode()]
+            else:
+                found.append(at)
+        return found
+
+    def _merged(self, text: str) -> list[str]:
+        """The symbols of a short unit. The agenda holds a score for each pair, in order of place:
+        the first of the best is what a heap would give."""
+        score = self.rank.get
+        symbols = list(text)
+        agenda = [score(text[i : i + 2], _NEVER) for i in range(len(text) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == _NEVER:
+                break
+            i = agenda.index(best)
+            pair = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = pair
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(pair + symbols[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + pair, _NEVER)
+        return symbols
+
+    def _merged_long(self, text: str) -> list[str]:
+        """The symbols of a unit of any length, with a heap."""
         rank = self.rank
         symbols = list(text)
         n = len(symbols)
@@ -146,15 +180,7 @@ class Vocabulary:
                 new = symbols[h] + pair
                 if new in rank:
                     heappush(agenda, (rank[new], h, new))
-        found: list[int] = []
-        for s in symbols:
-            if s is not None:
-                at = self.ids.get(s)
-                if at is None:
-                    found += [self.byte_ids[b] for b in s.encode()]
-                else:
-                    found.append(at)
-        return found
+        return [s for s in symbols if s is not None]
 
     def plain(self, ids: list[int]) -> str:
         """The text of ids, with a space for each mark; bytes that are no UTF-8 become U+FFFD."""
@@ -177,14 +203,20 @@ class Vocabulary:
 
 class _Units(dict):
     """Unit without its first mark, or part of a unit after a mark sign -> (its ids as text, its
-    plain text). What is missing is encoded, and units are checked against the library."""
+    plain text). What is missing is encoded, and units are checked against the library.
+
+    When it is full, its entries are set aside in place of those set aside before, and come back
+    when they are asked for again: words that recur stay, those that came once go."""
 
     def __init__(self, vocabulary: Vocabulary, library):
         super().__init__()
         self.vocabulary, self.library = vocabulary, library
         self.unchecked: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def __missing__(self, unit: str) -> tuple[str, str]:
+        if unit in self.older:
+            return self._keep(unit, self.older[unit])
         v = self.vocabulary
         parts = [MARK + unit] if unit.isalpha() else v.parted(MARK + unit)
         if len(parts) == 1:
@@ -195,7 +227,7 @@ class _Units(dict):
             found = [self[head[1:]] if len(head) > 1 else self.one(head)]
             for p in rest:
                 key = "\0" + p
-                if key in self:
+                if key in self or key in self.older:
                     found.append(self[key])
                 else:
                     found.append(self._keep(key, self.one(p)))
@@ -216,8 +248,9 @@ class _Units(dict):
             return
         lists = self.library.encode(list(found), num_threads=1)
         plains = self.library.decode(lists, num_threads=1)
+        numbers = self.vocabulary.numbers
         for (unit, value), ids, plain in zip(found.items(), lists, plains):
-            if value != (",".join(map(str, ids)), " " + plain):
+            if value[0] != ",".join([numbers[i] for i in ids]) or value[1] != " " + plain:
                 raise ValueError(f"sentencepiece encodes or decodes {unit[:200]!r} otherwise")
 
     def one(self, part: str) -> tuple[str, str]:
@@ -228,6 +261,7 @@ class _Units(dict):
     def _keep(self, key: str, value: tuple[str, str]) -> tuple[str, str]:
         if len(key) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -340,3 +340,23 @@ def test_licence_scan_runs_no_python(licences):
 def test_no_licences_in_empty_table(licences):
     docs, _, model = licences
     assert license_scan.report(docs.limit(0), model).count() == 0
+
+
+def test_words_that_recur_are_merged_once(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 40)
+    own = sentencepiece_bpe.Encoder(open(PIECES, "rb").read())
+    merged, merge = [], own.vocabulary.merge
+    own.vocabulary.merge = lambda part: merged.append(part) or merge(part)
+    for i in range(400):
+        own.encode(f"recurring w{i * 7919}q")
+    assert merged.count(sentencepiece_bpe.MARK + "recurring") == 1
+    assert len(own.units) <= 40 and len(own.units.older) <= 40
+
+
+def test_short_and_long_units_are_merged_alike():
+    rng = random.Random(3)
+    v = sentencepiece_bpe.Vocabulary(open(PIECES, "rb").read())
+    letters = "abcdeéthingßz漢" + sentencepiece_bpe.MARK
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(2000)]
+    for t in [*texts, *["a" * k for k in range(1, 50)]]:
+        assert v._merged(t) == v._merged_long(t)
