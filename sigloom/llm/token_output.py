@@ -37,7 +37,8 @@ from sigloom.llm.id_coder import decode_lanes, encode_lanes
 STRIPE = 6_000_000
 LANES = 2_048
 LEAST_STEPS = 512
-REMEMBERED = 300_000  # pieces of text
+REMEMBERED = 150_000  # pieces of text, and as many that came before them
+TOGETHER = 256  # pieces that the library encodes as one text
 LONGEST = 64  # characters of a piece that is remembered
 
 FORMAT = (
@@ -48,6 +49,8 @@ FORMAT = (
 #: Before a space between two other characters, every text can be cut: no pre-token of a byte-level
 #: vocabulary goes on past such a space, as a space only ever begins one.
 _cut = re.compile(r"(?<=\S)(?= \S)")
+#: A piece before and after which a text of such pieces can be cut.
+_joins = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 _odd = re.compile(r"\s[^\S ]|[^\S ]\s|  |^ | $")
 
 
@@ -62,6 +65,12 @@ class Tokenizer:
         if self.library.get_vocab_size() > 0xFFFF:
             raise ValueError("ids do not fit in 16 bits")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        added = self.library.get_added_tokens_decoder()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each id
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token.encode()) if i in added else len(token)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -73,15 +82,14 @@ class Tokenizer:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        new = sorted(set().union(*cut).difference(self.known))
+        wanted = set().union(*cut)
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = sorted(set().union(*cut))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            coded = self.library.encode_batch_fast(some, add_special_tokens=False)
-            for piece, e in zip(some, coded, strict=True):
-                self.known[piece] = np.array(e.ids, np.uint16).tobytes()
+            self.older, self.known = self.known, {p: self.known[p] for p in wanted.difference(new)}
+        back = new.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in back)
+        new = sorted(new - back)
+        self._learn(new)
         found = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), np.uint16) for c in cut]
         for piece in new:
             if len(piece) > LONGEST:
@@ -89,6 +97,34 @@ class Tokenizer:
         return found
 
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces. Those that can be cut apart again are encoded as one text and
+        told apart by the bytes of the ids; where an id spans two of them, they are encoded alone."""
+        alone, joined = [], []
+        for p in pieces:
+            (joined if _joins.fullmatch(p) else alone).append(p)
+        groups = [joined[at : at + TOGETHER] for at in range(0, len(joined), TOGETHER)]
+        for at in range(0, len(groups), 40):
+            some = groups[at : at + 40]
+            coded = self.library.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)
+            for group, e in zip(some, coded, strict=True):
+                ids = np.array(e.ids, np.uint16)
+                ends = np.cumsum(self.sizes[ids])
+                last = np.cumsum([len(p.encode()) for p in group])
+                cuts = np.searchsorted(ends, last)
+                if cuts[-1] != len(ids) - 1 or (ends[cuts] != last).any():
+                    alone += group
+                    continue
+                data, at_ = ids.tobytes(), 0
+                for piece, to in zip(group, ((cuts + 1) * 2).tolist(), strict=True):
+                    self.known[piece], at_ = data[at_:to], to
+        for at in range(0, len(alone), 10_000):
+            some = alone[at : at + 10_000]
+            coded = self.library.encode_batch_fast(some, add_special_tokens=False)
+            for piece, e in zip(some, coded, strict=True):
+                self.known[piece] = np.array(e.ids, np.uint16).tobytes()
+
+
 _tokenizers: dict[bytes, Tokenizer] = {}
 
 

@@ -360,3 +360,21 @@ def test_short_and_long_units_are_merged_alike():
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(2000)]
     for t in [*texts, *["a" * k for k in range(1, 50)]]:
         assert v._merged(t) == v._merged_long(t)
+
+
+def test_pieces_are_encoded_in_few_texts(monkeypatch):
+    monkeypatch.setattr(token_output, "REMEMBERED", 50)
+    own = token_output.Tokenizer(open(BYTES, "rb").read())
+    library, calls = own.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    own.library = Counted()
+    texts = [" ".join(f"wörd{i * j}, <|endoftext|> 漢{i}!" for j in range(40)) for i in range(30)] + [t or "" for t in ODD]
+    found = own.encode(texts) + own.encode(texts[::-1])[::-1]
+    for t, ids in zip(texts * 2, found, strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+    assert sum(calls) < 400
